@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .shared import read
 
@@ -28,7 +29,55 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import overlaps
+
+    return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def op6_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, grade, score
+
+    docs = read(spark, sf_dir, "documents")
+    model = fit(docs, read(spark, sf_dir, "labels").select("doc_id", grade().alias("grade")).where("quality is not null and toxic is not null"))
+    return score(docs, model, ["doc_id"])
+
+
+TOP_K_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
+  from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(cast(x as double)))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e)
+  where q.vec_id % 50 = 0
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_language_id": op5_language_id,
+    "op6_threshold_top_k": op6_threshold_top_k,
+    "op10_ordinal_quality": op10_ordinal_quality,
+}
+ORACLES: dict[str, str] = {
+    "op6_threshold_top_k": TOP_K_SQL,
 }
-ORACLES: dict[str, str] = {}

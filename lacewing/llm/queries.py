@@ -55,6 +55,12 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model, ["doc_id"])
 
 
+def op7_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), n=2).drop("n_links")
+
+
 TOP_K_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
@@ -71,13 +77,43 @@ with v as (
 select query_id, rank, vec_id, score from r where rank <= 5
 """
 
+NEAR_DUPLICATES_SQL = """
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) = 1 then [w[1]] else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s
+  from words
+), items as (
+  select doc_id, len(s) as n, unnest(s) as x from sets
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as k, any_value(a.n) as na, any_value(b.n) as nb
+  from items a join items b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  group by 1, 2
+), links as (
+  select a, b from common where 100 * k >= 80 * (na + nb - k)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reach(id, root) as (
+  select doc_id, doc_id from documents
+  union
+  select r.id, e.b from reach r join both_ways e on r.root = e.a
+), lowest as (
+  select id, min(root) as root from reach group by id
+)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, l.root as component_id, s.doc_id = l.root as kept
+from sets s join lowest l on s.doc_id = l.id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_language_id": op5_language_id,
     "op6_threshold_top_k": op6_threshold_top_k,
+    "op7_bottom_k_near_duplicates": op7_bottom_k_near_duplicates,
     "op10_ordinal_quality": op10_ordinal_quality,
 }
 ORACLES: dict[str, str] = {
     "op6_threshold_top_k": TOP_K_SQL,
+    "op7_bottom_k_near_duplicates": NEAR_DUPLICATES_SQL,
 }

@@ -61,6 +61,12 @@ def op7_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), n=2).drop("n_links")
 
 
+def op9_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 TOP_K_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_threshold_top_k": op6_threshold_top_k,
     "op7_bottom_k_near_duplicates": op7_bottom_k_near_duplicates,
+    "op9_hidden_markov_lm": op9_hidden_markov_lm,
     "op10_ordinal_quality": op10_ordinal_quality,
 }
 ORACLES: dict[str, str] = {

@@ -61,6 +61,15 @@ def op7_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), n=2).drop("n_links")
 
 
+def op8_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rans import documents, write
+    from .shared import Workspace
+
+    work = Workspace(spark, "ids")
+    write(read(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), work.path("dataset"), work)
+    return documents(spark, work.path("dataset"), digest=True)
+
+
 def op9_hidden_markov_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import score_documents
 
@@ -117,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_threshold_top_k": op6_threshold_top_k,
     "op7_bottom_k_near_duplicates": op7_bottom_k_near_duplicates,
+    "op8_range_coded_ids": op8_range_coded_ids,
     "op9_hidden_markov_lm": op9_hidden_markov_lm,
     "op10_ordinal_quality": op10_ordinal_quality,
 }

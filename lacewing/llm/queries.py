@@ -35,6 +35,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import findings
+
+    return findings(read(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -123,6 +129,7 @@ from sets s join lowest l on s.doc_id = l.id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_disclosure_pii": op4_disclosure_pii,
     "op5_language_id": op5_language_id,
     "op6_threshold_top_k": op6_threshold_top_k,
     "op7_bottom_k_near_duplicates": op7_bottom_k_near_duplicates,

@@ -63,4 +63,4 @@ class IdFilter:
 
     @staticmethod
     def slot(column: str) -> F.Column:
-        return F.pmod(F.xxhash64(F.col(column)), F.lit(1 << FILTER_BITS))
+        return F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(1 << FILTER_BITS)))

@@ -176,3 +176,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sig.select("id", *key).join(named, key, "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows, with all their columns, of documents that are kept.
+
+    Texts are not shuffled: rows outside a bit filter of the dropped ids pass at
+    once, and only the others are joined with those ids.
+    """
+    work = Workspace(docs.sparkSession, "dedup")
+    gone = near_duplicates(docs, id_col, text_col, n, percent).where("not kept").select(F.col(id_col).cast("bigint").alias("id"))
+    gone = work.cut(gone.groupBy("id").agg(F.lit(1).alias("one")).select("id"), "gone")
+    held = docs.sparkSession.sparkContext.broadcast(IdFilter(gone))
+    tagged = docs.withColumn("_slot", F.coalesce(IdFilter.slot(id_col), F.lit(-1)))
+
+    def split(wanted):
+        def run(batches):
+            for b in batches:
+                slot = np.asarray(b.column(b.num_columns - 1))
+                hit = (slot >= 0) & held.value.test(np.maximum(slot, 0))
+                yield b.filter(pa.array(hit == wanted)).select(list(range(b.num_columns - 1)))
+
+        return tagged.mapInArrow(run, docs.schema)
+
+    maybe = split(True)
+    return split(False).unionByName(maybe.join(gone, maybe[id_col].cast("bigint") == gone["id"], "left_anti"))

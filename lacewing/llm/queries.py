@@ -23,6 +23,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import scan
+
+    return scan(read(spark, sf_dir, "documents"), path_col="source")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
@@ -127,6 +133,7 @@ from sets s join lowest l on s.doc_id = l.id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_forest_secret_scan": op1_forest_secret_scan,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_disclosure_pii": op4_disclosure_pii,

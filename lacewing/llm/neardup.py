@@ -6,12 +6,13 @@
 2.  Inverted lists.  Retained values are ranked by how many classes retain them,
     rarest first.  Two sets with Jaccard similarity of 0.8 or more share at least
     SHARED of K retained values (all but 1 in 10**6 such pairs at 0.8 exactly, and
-    sets of K or fewer shingles always), so at least two are among the first
-    K - SHARED + 2 of both; only these are put into lists.
-3.  Each list first links its members to its smallest member (a star), then, where
-    members are still in different components, to each other.  In lists of more
-    than SMALL members only those are compared that share a second such value.
-    Lists have no cap.
+    sets of K or fewer shingles always), so one at least is among the first K - SHARED + 1
+    of both; only these are put into lists.
+3.  Each list links its members to its pivot, the member with most values that
+    others retain too (then the smallest).  Where members are still in different
+    components, short lists (SMALL members or fewer) compare all such pairs.  Members
+    of longer lists meet once for each pivot, in blocks of documents of like size;
+    block pairs are compared as matrices.  Nothing has a cap.
 4.  Estimates.  A pair goes on if 128 one-bit minima (one for each 1/128 of the hash
     range) and then the sketch of the union of both allow a similarity of 0.8.
 5.  Verification counts the intersection of the full sets.  Links are exact.
@@ -42,6 +43,8 @@ from .shared import Workspace, ship
 K = 48
 SHARED = 24
 SMALL = 16
+BLOCK = 512
+BLOCK_ITEMS = 400_000
 BITS_APART = 36
 SIGNED = np.int64
 
@@ -127,7 +130,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, work: Works
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable), kept, n_links (of its class)."""
+    """Per row: id, n_shingles, component_id (smallest id reachable), kept."""
     spark = docs.sparkSession
     work = Workspace(spark, "neardup")
     sig = work.cut(sketches(docs, id_col, text_col, n), "sketches")
@@ -140,42 +143,128 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = base.select("id", F.explode("sketch").alias("v"))
     often = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     ranked = posted.join(often, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("many"))
-    first = F.when(F.col("n") > K, F.lit(K - SHARED + 2)).otherwise(F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 5).cast("int")
+    first = F.when(F.col("n") > K, F.lit(K - SHARED + 1)).otherwise(F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 4).cast("int")
     room = first - (F.least("n", F.lit(K)) - F.size("many")).cast("int")  # values retained by no other come first and need no list
-    head = ranked.join(base.select("id", "n", "b1", "b2"), "id").where(room > 0).withColumn("many", F.slice("many", F.lit(1), F.greatest(room, F.lit(0))))
-    lists = head.select(F.explode("many.v").alias("v"), "id", "n", "b1", "b2")
+    head = ranked.join(base.select("id", "n", "b1", "b2"), "id").where(room > 0).withColumn("shared", F.size("many")).withColumn("many", F.slice("many", F.lit(1), F.greatest(room, F.lit(0))))
+    alone = (F.least("n", F.lit(K)) - F.col("shared")).cast("int")
+    lists = head.select(F.explode("many.v").alias("v"), "id", "n", "b1", "b2", alone.alias("alone"))
     lists = work.cut(lists, "lists")
 
     # stars
-    middle = lists.groupBy("v").agg(F.min(F.struct("id", "n", "b1", "b2")).alias("m"), F.count("*").alias("members")).where("members > 1")
-    middle = middle.select("v", F.col("m.id").alias("b"), F.col("m.n").alias("n2"), F.col("m.b1").alias("c1"), F.col("m.b2").alias("c2"))
-    star = lists.join(middle, "v").where("id <> b").where(_similar(percent)).select(F.col("id").alias("a"), "b")
+    middle = lists.groupBy("v").agg(F.min(F.struct("alone", "id", "n", "b1", "b2")).alias("m"), F.count("*").alias("members")).where("members > 1")
+    middle = work.cut(middle.select("v", "members", F.col("m.id").alias("b"), F.col("m.n").alias("n2"), F.col("m.b1").alias("c1"), F.col("m.b2").alias("c2")), "pivots")
+    star = lists.join(middle, "v").where("id <> b").where(_similar(percent)).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
     links = [_verified(star, classes, docs, work, "star", id_col, text_col, n, percent)]
     roots = components(links[0], work, "star")
 
-    # members of one list in different components
-    placed = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = placed.groupBy("v").agg(F.count("*").alias("members"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v", "members")
-    placed = work.cut(placed.join(split, "v"), "split")
-    other = [F.col("id").alias("b"), F.col("n").alias("n2"), F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("root").alias("root2")]
-    apart = "id < b and root <> root2"
+    # members of one short list in different components
+    placed = lists.join(middle.select("v", "members", F.col("b").alias("pivot")), "v").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = work.cut(placed, "placed")
     few = placed.where(f"members <= {SMALL}")
-    rest = few.join(few.select("v", *other), "v").where(apart).where(_similar(percent)).select(F.col("id").alias("a"), "b")
-    values = placed.where(f"members > {SMALL}").groupBy("id", "n", "b1", "b2", "root").agg(F.sort_array(F.collect_set("v")).alias("vs"))
-    two = values.select("*", F.posexplode("vs").alias("p", "v")).select("id", "n", "b1", "b2", "root", "v", F.explode(F.expr("slice(vs, p + 2, size(vs))")).alias("w"))
-    both = work.cut(two, "second")
-    shared = both.groupBy("v", "w").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v", "w")
-    both = both.join(shared, ["v", "w"])
-    more = both.join(both.select("v", "w", *other), ["v", "w"]).where(apart).where(_similar(percent)).select(F.col("id").alias("a"), "b")
-    links.append(_verified(rest.unionByName(more), classes, docs, work, "rest", id_col, text_col, n, percent))
+    split = few.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v")
+    few = few.join(split, "v", "left_semi")
+    other = few.select("v", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("root").alias("root2"))
+    rest = few.join(other, "v").where("id < b and root <> root2").where(_similar(percent)).select(F.col("id").alias("a"), "b")
+    links.append(_verified(rest, classes, docs, work, "rest", id_col, text_col, n, percent))
+
+    # members of longer lists, once for each pivot
+    many = placed.where(f"members > {SMALL}").groupBy("pivot", "id").agg(*(F.any_value(c).alias(c) for c in ("n", "b1", "b2", "root")))
+    links.append(_blocked(many, docs, work, id_col, text_col, n, percent))
 
     linked = reduce(DataFrame.unionByName, links)
     roots = components(linked, work, "all")
-    degree = linked.select(F.col("a").alias("node")).unionByName(linked.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    named = classes.join(roots.join(degree, "node", "left").withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or root is not null").select(*key, F.coalesce("root", "id").alias("component"), "n_links")
+    named = classes.join(roots.withColumnRenamed("node", "id"), "id", "left").where("copies > 1 or root is not null").select(*key, F.coalesce("root", "id").alias("component"))
     out = sig.select("id", *key).join(named, key, "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+KEYS = ["pivot", "c1", "s1", "c2", "s2"]
+
+
+def _pairs_of_block(t: pa.Table, percent: int):
+    """Rows of the first and second block of a group, and which pairs can be similar and are apart."""
+    cols = {c: t.column(c).to_numpy() for c in ("id", "n", "b1", "b2", "root", "cls", "sub", "c1", "s1", "c2", "s2")}
+    one = np.flatnonzero((cols["cls"] == cols["c1"]) & (cols["sub"] == cols["s1"]))
+    two = np.flatnonzero((cols["cls"] == cols["c2"]) & (cols["sub"] == cols["s2"]))
+    n1, n2 = cols["n"][one][:, None], cols["n"][two][None, :]
+    x = {c: cols[c].view(np.uint64) for c in ("b1", "b2")}  # signs don't count
+    apart = np.bitwise_count(x["b1"][one][:, None] ^ x["b1"][two][None, :]).astype(np.int16)
+    apart += np.bitwise_count(x["b2"][one][:, None] ^ x["b2"][two][None, :])
+    ok = (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & (apart <= BITS_APART) & (cols["root"][one][:, None] != cols["root"][two][None, :])
+    return cols, one, two, ok
+
+
+def _blocked(many: DataFrame, docs: DataFrame, work: Workspace, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Links between components among documents that share a pivot.
+
+    Similar sets differ in size by one class at most, classes being powers of
+    100 / percent.  A class of a pivot is cut into blocks of at most BLOCK documents
+    and about BLOCK_ITEMS shingles; each pair of blocks of like size is one group.
+    A first pass finds which documents can have a partner, a second brings their sets.
+    """
+    apart = many.groupBy("pivot").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("pivot")
+    cls = F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent))).cast("int")
+    many = work.cut(many.join(apart, "pivot", "left_semi").withColumn("cls", cls), "many")
+    size = F.greatest(F.lit(8), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_ITEMS) / F.max("n")))).cast("int")
+    blocks = many.groupBy("pivot", "cls").agg(F.ceil(F.count("*") / size).cast("int").alias("s"))
+    blocks = blocks.groupBy("pivot").agg(F.map_from_entries(F.collect_list(F.struct("cls", "s"))).alias("blocks"))
+    rows = many.join(blocks, "pivot")
+    count = lambda c: F.coalesce(F.try_element_at("blocks", c), F.lit(0))
+    own, up, down = count(F.col("cls")), count(F.col("cls") + 1), count(F.col("cls") - 1)
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("id"), own.cast("bigint")).cast("int"))
+    c, s = F.col("cls"), F.col("sub")
+    group = lambda c1, s1, c2, s2: F.struct(c1.alias("c1"), s1.alias("s1"), c2.alias("c2"), s2.alias("s2"))
+    each = lambda k, f: F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(k - 1, F.lit(0))), f)).otherwise(F.array().cast("array<struct<c1:int,s1:int,c2:int,s2:int>>"))
+    groups = F.concat(
+        each(own, lambda j: group(c, F.least(s, j), c, F.greatest(s, j))),
+        each(up, lambda j: group(c, s, c + 1, j)),
+        each(down, lambda j: group(c - 1, j, c, s)),
+    )
+    rows = rows.withColumn("g", F.explode(groups)).select("pivot", "g.*", "id", "n", "b1", "b2", "root", "cls", "sub")
+    schema = "pivot bigint, c1 int, s1 int, c2 int, s2 int, id bigint, n bigint, b1 bigint, b2 bigint, root bigint, cls int, sub int"
+
+    def hopeful(t: pa.Table) -> pa.Table:
+        _, one, two, ok = _pairs_of_block(t, percent)
+        hit = np.unique(np.concatenate([one[ok.any(1)], two[ok.any(0)]]))
+        return t.take(pa.array(hit))
+
+    hits = work.cut(rows.groupBy(*KEYS).applyInArrow(hopeful, schema), "hopeful")
+    ends = hits.groupBy("id").agg(F.lit(1).alias("one")).select("id")
+    full = work.cut(_full_sets(docs, ends, id_col, text_col, n).join(ends, "id", "left_semi").groupBy("id").agg(F.any_value("set").alias("set")), "block-sets")
+
+    def linked(t: pa.Table) -> pa.Table:
+        cols, one, two, ok = _pairs_of_block(t, percent)
+        sets = t.column("set").combine_chunks()
+        length = np.asarray(sets.value_lengths(), np.int64)
+        row = np.repeat(np.arange(len(length)), length)
+        _, item, often = np.unique(np.asarray(sets.flatten()), return_inverse=True, return_counts=True)
+        keep = often[item] > 1
+        number = np.cumsum(often > 1) - 1
+        row, item = row[keep], number[item[keep]]
+        order = np.argsort(item, kind="stable")
+        row, item = row[order], item[order]
+        place = np.full((2, len(length)), -1)
+        place[0, one], place[1, two] = np.arange(len(one)), np.arange(len(two))
+        common = np.zeros((len(one), len(two)), np.float32)
+        for low in range(0, int((often > 1).sum()), 4096):
+            at = slice(*np.searchsorted(item, [low, low + 4096]))
+            x = np.zeros((2, max(len(one), len(two)), 4096), np.float32)
+            for side in (0, 1):
+                p = place[side, row[at]]
+                x[side, p[p >= 0], item[at][p >= 0] - low] = 1
+            common += x[0, : len(one)] @ x[1, : len(two)].T
+        total = length[one][:, None] + length[two][None, :] - common
+        i, j = np.nonzero(ok & (100 * common >= percent * total))
+        # of links between the same two components one is enough
+        a, b = cols["id"][one[i]], cols["id"][two[j]]
+        r = np.sort(np.stack([cols["root"][one[i]], cols["root"][two[j]]], 1), 1)
+        first = np.unique(r, axis=0, return_index=True)[1] if len(r) else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.minimum(a, b)[first]), "b": pa.array(np.maximum(a, b)[first])})
+
+    links = work.cut(hits.join(full, "id").groupBy(*KEYS).applyInArrow(linked, "a bigint, b bigint"), "block-links")
+    work.drop("block-sets", "hopeful")
+    return links
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -70,7 +70,7 @@ def op10_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
-    return near_duplicates(read(spark, sf_dir, "documents"), n=2).drop("n_links")
+    return near_duplicates(read(spark, sf_dir, "documents"), n=2)
 
 
 def op8_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,191 @@
+"""Classifiers, language model, decontamination and personal data on small tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lacewing.llm import decontam, langid, lm, pii, quality, secret_scan
+
+SF = "/root/testdata/sf0.01"
+
+
+def docs(spark, rows, extra=True):
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return d.selectExpr("*", "'z' as item_id", "0.5 as score", "'s' as source") if extra else d
+
+
+WORDS = [f"w{k}" for k in range(200)]
+
+
+def test_overlaps_tolerate_substitutions(spark):
+    item = WORDS[:20]
+    hurt = item.copy()
+    hurt[4] = hurt[11] = hurt[16] = "zzz"
+    rows = [(1, "a b " + " ".join(item).upper() + " c"), (2, " ".join(["x"] * 30 + hurt)), (3, " ".join(item[::-1])), (4, " ".join(item[:4])), (5, None), (6, ""), (1, " ".join(item))]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "q r"), (9, None), (None, "x"), (10, " ".join(WORDS[50:56]))], "item_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.n_equal) for r in decontam.overlaps(docs(spark, rows), bench).collect())
+    assert got == [(1, 7, 0, 20, 20), (1, 7, 2, 20, 20), (2, 7, 30, 20, 17)]
+    kept = decontam.remove_contaminated(docs(spark, rows), bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6] and kept.columns[-1] == "source"
+    assert decontam.overlaps(docs(spark, rows), bench.where("false")).count() == 0
+    assert decontam.overlaps(docs(spark, rows).where("false"), bench).count() == 0
+
+
+def test_masks_find_any_two_substitutions_in_twelve_words():
+    for i in range(12):
+        for j in range(i):
+            hit = [k not in (i, j) for k in range(12)]
+            assert any(all(hit[s + p] for p, c in enumerate(m) if c == "1") for m in decontam.MASKS for s in range(12 - len(m) + 1))
+
+
+def test_benchmark_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 25)
+    bench = spark.createDataFrame([(k, " ".join(WORDS[20 * k : 20 * k + 20])) for k in range(5)], "item_id bigint, text string")
+    rows = [(k, " ".join(WORDS[20 * k : 20 * k + 20])) for k in range(5)]
+    got = sorted((r.doc_id, r.item_id) for r in decontam.overlaps(docs(spark, rows), bench).collect())
+    assert got == [(k, k) for k in range(5)]
+
+
+def test_benchmark_passages_of_the_table_are_found(spark):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(table, bench).collect()}
+    whole = {(d.doc_id, b.item_id) for d in table.collect() for b in bench.collect() if b.text in d.text}
+    assert whole and whole <= got
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(x - 9 * (x > 9) for x in (int(c) * (1 + k % 2) for k, c in enumerate(reversed(d)))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for k, (name, p) in enumerate(PATTERNS.items()):
+        for m in re.finditer(p, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            bad = {"ip": any(int(x) > 255 for x in m[0].split(".")) if name == "ip" else 0, "card": not (12 <= len(digits) <= 19 and luhn(digits)), "phone": not 9 <= len(digits) <= 15}
+            if not bad.get(name):
+                out.append((m.start(), k, m.end(), name))
+    return ",".join(f"{n}:{s}:{e}" for s, _, e, n in sorted(out))
+
+
+def test_base_spans(spark):
+    odd = ["a@b.c_d@e.fg 1.2.3.4.5.6.7.8 999.1.1.1.1.1.1 4111 1111 1111 1111 4111-1111-1111-1111-", "+1 (555) 555-5555+2 3", "é@x.y ünï a.b@c-d.e.f 001.002.003.255", "", "x" * 3000 + "@",
+           "4" * 3000, "1 " * 2000, "@.@..@a@b.c", "5555555555554444 x 378282246310005", " ".join(f"10.0.0.{i}" for i in range(700)), None]
+    rows = list(enumerate(odd)) + [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()]
+    got = {r.doc_id: r for r in pii.findings(docs(spark, rows)).collect()}
+    for k, t in rows:
+        want = brute(t)
+        assert got[k].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
+        assert set(want.split(",")) <= set(got[k].spans.split(","))
+        assert got[k].n_ip == want.count("ip:")
+
+
+def test_disclosing_terms(spark):
+    common = "alpha beta gamma delta "
+    rows = [(k, f"{common} {'Zorbulon' if k < 5 else 'plain'} text number{k} {'x@y.zz' if k < 5 else ''} tail{chr(97 + k)}") for k in range(40)]
+    got = {r.doc_id: r.spans for r in pii.findings(docs(spark, rows)).collect()}
+    at = rows[0][1].index("Zorbulon")
+    assert f"remove:{at}:{at + 8}" in got[0] and "email" in got[0] and got[20] == ""
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert "Zorbulon" not in clean[0] and "[EMAIL]" in clean[0] and clean[20] == rows[20][1] and "alpha" in clean[0]
+    assert pii.findings(docs(spark, rows).where("false")).count() == 0
+
+
+def test_language(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    got = langid.identify(table.unionByName(table.limit(1).selectExpr("-1L as doc_id", "null as text", "null as lang", "source", "n_chars")).unionByName(table.limit(1).selectExpr("-2L as doc_id", "'123 !?' as text", "'fr' as lang", "source", "n_chars")), per_language=100)
+    r = {x.doc_id: x for x in got.collect()}
+    assert (r[-1].lang_pred, r[-2].lang_pred) == ("und", "und")
+    truth = {x.doc_id: x.lang for x in table.where("n_chars > 60").collect()}
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert all(r[k].held_out for k in held) and all(0 <= x.score <= 1 for x in r.values())
+    assert np.mean([r[k].lang_pred == truth[k] for k in held]) > 0.97
+    none = langid.identify(docs(spark, [(1, "abc")]).withColumn("lang", F.lit(None).cast("string"))).first()
+    assert (none.lang_pred, none.score) == ("und", 0.0)
+
+
+def test_quality_held_out(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    ratings = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", quality.grade().alias("grade"))
+    model = quality.fit(table, ratings.where("doc_id % 4 <> 0"))
+    assert np.all(np.diff(model.thresholds) > 0)
+    rows = quality.score(table.unionByName(table.limit(1).selectExpr("-1L as doc_id", "null as text", "lang", "source", "n_chars")), model, ["doc_id"])
+    got = {r.doc_id: r for r in rows.collect()}
+    truth = {r.doc_id: r.grade for r in ratings.where("doc_id % 4 = 0").collect()}
+    assert np.mean([got[k].kept == (g == 2) for k, g in truth.items()]) > 0.93
+    assert not got[-1].kept and got[-1].expected_grade == 0
+    kept = quality.score(table, model, table.columns, only_kept=True)
+    assert kept.columns == table.columns and kept.count() == sum(r.kept for k, r in got.items() if k >= 0)
+    assert quality.fit(table, ratings.where("false")) is None
+    assert quality.score(docs(spark, [(1, "a"), (2, None)]), None, ["doc_id"]).where("kept").count() == 1
+
+
+def test_language_model(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, " ".join(r.choice(["A", "b", "c", "d", f"rare{k}"], int(r.integers(0, 30))))) for k in range(60)] + [(60, None), (61, "unknown words only"), (7, "b c")]
+    got = lm.score_documents(docs(spark, rows)).collect()
+    tokens = {i: [*(t or "").lower().split(), "<end>"] for i, (_, t) in enumerate(rows)}
+    held = [zlib.crc32(str(k).encode()) % 5 == 1 for k, _ in rows]
+    c = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = sorted((k, held[i], len(tokens[i]), sum(c[w] > 0 for w in tokens[i]), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i]), 6)) for i, (k, _) in enumerate(rows))
+    assert sorted((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == want
+    assert all(x.score < 0 for x in got)
+
+
+def test_forward_recursion_and_counts_by_brute_force():
+    r = np.random.default_rng(2)
+    m = lm.Model(r.dirichlet(np.ones(lm.STATES)), r.dirichlet(np.ones(lm.STATES), lm.STATES), r.dirichlet(np.ones(lm.OWN + lm.BUCKETS), lm.STATES).T)
+    seqs = [r.integers(0, 9, n) for n in (1, 4, 3)]
+    off = np.cumsum([0, *map(len, seqs)])
+    cls = np.concatenate(seqs)
+    want, starts, moves = [], np.zeros(lm.STATES), np.zeros((lm.STATES, lm.STATES))
+    for s in seqs:
+        paths = np.array(np.meshgrid(*[range(lm.STATES)] * len(s), indexing="ij")).reshape(len(s), -1)
+        p = m.start[paths[0]] * m.emit[s[0], paths[0]]
+        for t in range(1, len(s)):
+            p = p * m.move[paths[t - 1], paths[t]] * m.emit[s[t], paths[t]]
+        want.append(np.log10(p.sum()))
+        w = p / p.sum()
+        np.add.at(starts, paths[0], w)
+        for t in range(1, len(s)):
+            np.add.at(moves, (paths[t - 1], paths[t]), w)
+    assert np.allclose(m.log10(cls, off), want)
+    s, v, e = m.expect(cls, off)
+    assert np.allclose(s, starts, atol=1e-4) and np.allclose(v, moves, atol=1e-4) and np.isclose(e.sum(), len(cls), atol=1e-3)
+
+
+def test_secrets(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    truth = {(d.doc_id, m.start(1)) for d in table.collect() for m in re.finditer(r'token = "([0-9a-f]{40})', d.text)}
+    got = {(r.doc_id, r.start) for r in secret_scan.scan(table, path_col="source").collect()}
+    assert truth <= got and len(got - truth) <= 0.1 * len(truth)
+    assert secret_scan.scan(docs(spark, [(1, None), (2, ""), (3, "x" * 500)]), path_col="source").count() == 0
+
+
+def test_secrets_from_given_labels(spark):
+    hexes = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(40)]
+    rows = [(k, f'{"token" if k % 2 else "commit"} = "{h}"') for k, h in enumerate(hexes)]
+    labels = spark.createDataFrame([(k, rows[k][1].index('"') + 1, k % 2) for k in range(20)], "doc_id bigint, start bigint, label int")
+    got = {r.doc_id for r in secret_scan.scan(docs(spark, rows), labels=labels).collect()}
+    assert {k for k in range(1, 40, 2)} <= got and len(got) <= 22
+
+
+@pytest.mark.parametrize("name", ["op1", "op3", "op4", "op5", "op9", "op10"])
+def test_registered_names(name):
+    from lacewing.llm.queries import QUERIES
+
+    assert sum(q.startswith(name + "_") for q in QUERIES) == 1

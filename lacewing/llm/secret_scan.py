@@ -34,7 +34,9 @@ NEAR = 48
 # Words that stand near secrets, and near values that only look so.
 TELLING = "token|secret|password|passwd|pwd|api|apikey|key|auth|bearer|credential|private|access"
 HARMLESS = "example|sample|dummy|placeholder|test|sha|sha1|sha256|md5|checksum|digest|commit|revision|uuid|hash|integrity"
-FEATURES = ["length", "upper", "lower", "digit", "other", "changes", "letter_digit", "distinct", "hex", "repeats", "covered", "path_code", "path_test", "assigned", "quoted", "telling", "harmless"]
+# Beginnings of keys by which their issuers can be told.
+ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp_|gho_|ghs_|github_pat_|glpat-|npm_|sk_live_|sk-|xox[abpr]-|AIza|eyJ)[A-Za-z0-9_-]{16,}"
+FEATURES = ["issued", "named", "length", "upper", "lower", "digit", "other", "changes", "letter_digit", "distinct", "hex", "repeats", "covered", "path_code", "path_test", "assigned", "quoted", "telling", "harmless"]
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
@@ -78,28 +80,33 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
     piece = found.select("key", F.explode(_pieces()).alias("word"), F.length(F.regexp_replace(F.lower("value"), "[^a-z]", "")).alias("letters"))
     covered = piece.join(known, "word").groupBy("key").agg((F.sum(F.length("word")) / F.max("letters")).alias("covered"))
     number = lambda c: c.cast("double")
-    near = F.concat_ws(" ", F.col("before"), F.substring(F.col("after"), 1, 16))
+    near = F.concat_ws(" ", F.right("before", F.lit(24)), F.substring(F.col("after"), 1, 16))
     return found.join(covered, "key", "left").select(
         "*", number(F.length("value")).alias("length"), _share("[^A-Z]").alias("upper"), _share("[^a-z]").alias("lower"), _share("[^0-9]").alias("digit"), _share("[A-Za-z0-9]").alias("other"),
         _times(r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]").alias("changes"), _times(r"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]").alias("letter_digit"),
         (F.size(F.array_distinct(F.split("value", ""))) / F.length("value")).alias("distinct"), number(F.col("value").rlike("^[0-9a-fA-F]+$")).alias("hex"), _times(r"(.)(?=\1)").alias("repeats"),
         number(F.col("path").rlike(r"\.(py|js|ts|go|java|rb|sh|env|cfg|conf|ini|yml|yaml|json|toml|properties)$")).alias("path_code"), number(F.col("path").rlike("(?i)(test|example|fixture|mock|vendor|lock)")).alias("path_test"),
+        number(F.col("value").rlike(ISSUED)).alias("issued"), number(F.lower("value").rlike(rf"^[a-z0-9_-]*({TELLING})[a-z0-9_-]*=+[^=]")).alias("named"),
         number(F.col("before").rlike(r"[=:]\s*[\"'`]?$")).alias("assigned"), number(F.col("before").rlike("[\"'`]$")).alias("quoted"),
-        number(near.rlike(rf"(^|[^a-z])({TELLING})([^a-z]|$)")).alias("telling"), number(near.rlike(rf"(^|[^a-z])({HARMLESS})([^a-z]|$)")).alias("harmless"),
+        number(near.rlike(rf"(^|[^a-z])({TELLING})([^a-z]|$)")).alias("telling"), number(near.rlike(rf"(^|[^a-z])({HARMLESS})([^a-z.]|$)")).alias("harmless"),
     ).withColumn("covered", F.least(F.lit(1.0), F.coalesce("covered", F.lit(0.0))))
 
 
 def rule_label() -> Column:
-    """1: a random-looking value assigned to a telling name; 0: words, counters, named digests; null: undecided."""
-    random = (F.col("digit") > 0.1) & (F.col("letter_digit") > 0.1) & (F.col("distinct") > 0.2) & (F.col("covered") < 0.5)
-    return F.when(random & (F.col("telling") > 0) & (F.col("assigned") > 0) & (F.col("harmless") == 0), 1.0).when((F.col("digit") < 0.03) | (F.col("covered") > 0.7) | (F.col("harmless") > 0) | (F.col("repeats") > 0.3), 0.0)
+    """1: an issuer's key, or a random-looking value assigned to a telling name; 0: words, counters, named digests; null: undecided."""
+    mixed = (F.col("digit") > 0.1) & (F.col("letter_digit") > 0.1) & (F.col("distinct") > 0.2) & (F.col("harmless") == 0)
+    random = mixed & (F.col("covered") < 0.5)
+    issued = (F.col("issued") > 0) & (F.col("repeats") < 0.3) & (F.col("harmless") == 0)
+    return F.when(issued | (mixed & (F.col("named") > 0)), 1.0).when(random & (F.col("telling") > 0) & (F.col("assigned") > 0) & (F.col("harmless") == 0), 1.0).when((F.col("digit") < 0.03) | (F.col("covered") > 0.7) | (F.col("harmless") > 0) | (F.col("repeats") > 0.3), 0.0)
 
 
 def examples(spark: SparkSession, n: int = 400) -> DataFrame:
-    """Worked examples: digests assigned to telling names; the same as named checksums; words; counters."""
+    """Worked examples: issuers' keys, digests assigned to telling names; placeholders, named checksums, words, counters."""
     i = F.col("id")
     h, g = F.sha1(i.cast("string")), F.base64(F.unhex(F.sha2(i.cast("string"), 256)))
     kinds = [
+        (F.concat(F.lit("AKIA"), F.substring(F.translate(F.upper(h), "01", "QZ"), 1, 16)), "of the ", 1.0), (F.concat(F.lit("password="), F.substring(h, 1, 18)), "and then ", 1.0),
+        (F.concat(F.lit("password="), F.translate(F.substring(h, 1, 14), "0123456789", "changemeno")), "and then ", 0.0), (F.concat(F.lit("AKIA"), F.repeat(F.lit("X"), 16)), "the example ", 0.0),
         (h, "token = \"", 1.0), (F.regexp_replace(g, "[^A-Za-z0-9]", "x"), "api key: '", 1.0), (F.substring(h, 1, 32), "password=", 1.0),
         (h, "sha1 checksum ", 0.0), (F.concat(F.lit("commit"), h), "example of ", 0.0), (F.translate(h, "0123456789", "ghijklmnop"), "and then ", 0.0),
         (F.repeat(F.lit("0123456789"), 3), "no ", 0.0), (F.concat_ws("-", F.lit("some-long-hyphened"), F.translate(F.substring(h, 1, 12), "0123456789", "aeioulnrst")), "of the ", 0.0),

@@ -48,8 +48,8 @@ def src_summaries(t):
     return t.pages.select("page_id").join(d, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("src_karma_out", f"with {LINES_SQL}, u as (select doc_id % 300 as base, 0 as rank, doc_id, pos from lines where doc_id < 300 union all select doc_id % 300, 1, doc_id, pos from lines where doc_id between 200 and 699), f as (select base, min(rank * 1000000 + doc_id) as k from u group by base) select u.base, u.doc_id, printf('seg%04d', u.pos + 1) as segment from u join f on u.base = f.base and u.rank * 1000000 + u.doc_id = f.k")
-def src_karma_out(t):
+@query("src_article_output", f"with {LINES_SQL}, u as (select doc_id % 300 as base, 0 as rank, doc_id, pos from lines where doc_id < 300 union all select doc_id % 300, 1, doc_id, pos from lines where doc_id between 200 and 699), f as (select base, min(rank * 1000000 + doc_id) as k from u group by base) select u.base, u.doc_id, printf('seg%04d', u.pos + 1) as segment from u join f on u.base = f.base and u.rank * 1000000 + u.doc_id = f.k")
+def src_article_output(t):
     d = lines(t).select("doc_id", "pos")
     u = d.where("doc_id < 300").withColumn("rank", F.lit(0)).unionByName(d.where("doc_id between 200 and 699").withColumn("rank", F.lit(1))).withColumn("base", F.col("doc_id") % 300)
     u = u.withColumn("k", F.col("rank") * 1_000_000 + F.col("doc_id"))

@@ -5,7 +5,8 @@ substituted word at an ignored position does not change the hash.  Hashes of all
 masked windows of the benchmark are held by every task; each document's windows
 are looked up there, and each hit fixes a diagonal (where item word 0 would stand
 in the document).  On that diagonal the words of item and document are compared
-and the best stretch is scored: +1 for an equal word, -3 for a substituted one.
+and the best stretch is scored: +1 for an equal word, -3 for a substituted one (of
+equal scores the stretch that ends first).
 
 A pair is an overlap if the stretch has at least ``min(least, words of the item)
 * identity`` equal words and a share of at least ``identity`` of its words equal.

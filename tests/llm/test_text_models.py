@@ -30,7 +30,7 @@ def test_overlaps_tolerate_substitutions(spark):
     rows = [(1, "a b " + " ".join(item).upper() + " c"), (2, " ".join(["x"] * 30 + hurt)), (3, " ".join(item[::-1])), (4, " ".join(item[:4])), (5, None), (6, ""), (1, " ".join(item))]
     bench = spark.createDataFrame([(7, " ".join(item)), (8, "q r"), (9, None), (None, "x"), (10, " ".join(WORDS[50:56]))], "item_id bigint, text string")
     got = sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.n_equal) for r in decontam.overlaps(docs(spark, rows), bench).collect())
-    assert got == [(1, 7, 0, 20, 20), (1, 7, 2, 20, 20), (2, 7, 30, 20, 17)]
+    assert got == [(1, 7, 0, 20, 20), (1, 7, 2, 20, 20), (2, 7, 30, 16, 14)]  # the stretch to word 20 scores the same, 17 - 9, and ends later
     kept = decontam.remove_contaminated(docs(spark, rows), bench)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6] and kept.columns[-1] == "source"
     assert decontam.overlaps(docs(spark, rows), bench.where("false")).count() == 0
@@ -118,14 +118,14 @@ def test_language(spark):
 
 
 def test_quality_held_out(spark):
-    table = spark.read.parquet(f"{SF}/documents.parquet")
-    ratings = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", quality.grade().alias("grade"))
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    ratings = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", quality.grade().alias("grade"))
     model = quality.fit(table, ratings.where("doc_id % 4 <> 0"))
     assert np.all(np.diff(model.thresholds) > 0)
     rows = quality.score(table.unionByName(table.limit(1).selectExpr("-1L as doc_id", "null as text", "lang", "source", "n_chars")), model, ["doc_id"])
     got = {r.doc_id: r for r in rows.collect()}
     truth = {r.doc_id: r.grade for r in ratings.where("doc_id % 4 = 0").collect()}
-    assert np.mean([got[k].kept == (g == 2) for k, g in truth.items()]) > 0.93
+    assert np.mean([got[k].kept == (g == 2) for k, g in truth.items()]) > 0.97
     assert not got[-1].kept and got[-1].expected_grade == 0
     kept = quality.score(table, model, table.columns, only_kept=True)
     assert kept.columns == table.columns and kept.count() == sum(r.kept for k, r in got.items() if k >= 0)

@@ -5,7 +5,7 @@
     are one class, which goes on as its smallest document.
 2.  Inverted lists.  Retained values are ranked by how many classes retain them,
     rarest first.  Two sets with Jaccard similarity of 0.8 or more share at least
-    SHARED of K retained values (all but 1 in 10**6 such pairs at 0.8 exactly, and
+    SHARED of K retained values (all but about 1 in 10**5 such pairs at 0.8 exactly, far fewer above, and
     sets of K or fewer shingles always), so one at least is among the first K - SHARED + 1
     of both; only these are put into lists.
 3.  Each list links its members to its pivot, the member with most values that
@@ -40,8 +40,8 @@ from .components import IdFilter, components
 from .kernel import Words, chunks, mix, shingles, strings
 from .shared import Workspace, ship
 
-K = 48
-SHARED = 24
+K = 64
+SHARED = 37
 SMALL = 16
 BLOCK = 512
 BLOCK_ITEMS = 400_000
@@ -161,8 +161,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = lists.join(middle.select("v", "members", F.col("b").alias("pivot")), "v").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     placed = work.cut(placed, "placed")
     few = placed.where(f"members <= {SMALL}")
-    split = few.groupBy("v").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("v")
-    few = few.join(split, "v", "left_semi")
     other = few.select("v", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("b1").alias("c1"), F.col("b2").alias("c2"), F.col("root").alias("root2"))
     rest = few.join(other, "v").where("id < b and root <> root2").where(_similar(percent)).select(F.col("id").alias("a"), "b")
     links.append(_verified(rest, classes, docs, work, "rest", id_col, text_col, n, percent))

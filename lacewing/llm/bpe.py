@@ -43,7 +43,7 @@ PLAIN_PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+
 NOT_PLAIN = r"[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]"
 SLICE = 1 << 16
 SHORT = 48
-KEPT = 1_000_000
+KEPT = 300_000
 _NONE = 1 << 62
 
 

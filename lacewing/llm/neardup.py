@@ -227,6 +227,7 @@ def _blocked(many: DataFrame, docs: DataFrame, work: Workspace, id_col: str, tex
         hit = np.unique(np.concatenate([one[ok.any(1)], two[ok.any(0)]]))
         return t.take(pa.array(hit))
 
+    rows = rows.repartition(*KEYS)  # else the groups of one pivot stay in the task that its join left them in
     hits = work.cut(rows.groupBy(*KEYS).applyInArrow(hopeful, schema), "hopeful")
     ends = hits.groupBy("id").agg(F.lit(1).alias("one")).select("id")
     full = work.cut(_full_sets(docs, ends, id_col, text_col, n).join(ends, "id", "left_semi").groupBy("id").agg(F.any_value("set").alias("set")), "block-sets")

@@ -209,6 +209,24 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame):
+    """The most frequent tokens, at most TOP, as a pandas frame.
+
+    A histogram over powers of 2**(1/8) (a few hundred rows) tells down to which
+    count they are few enough; only those rows come to the driver.
+    """
+    level = F.floor(F.log2("c") * 8)
+    sizes = {r.level: r.n for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()}
+    taken, least = 0, None
+    for k in sorted(sizes, reverse=True):
+        taken += sizes[k]
+        if taken > TOP:
+            break
+        least = k
+    rows = counts.where(level >= least) if least is not None else counts.where("false")
+    return rows.orderBy(F.desc("c"), "h").toPandas()
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -222,7 +240,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     train = docs.where(~held_out).select(F.col(text_col).alias("text"))
     counts = work.cut(count_tokens(train), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(TOP).toPandas()
+    top = most_frequent(counts)
     known = Known(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
     own = known.hash[known.own >= 0]
     in_bucket = counts.groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("k")).agg(F.sum(F.col("c") + 0.5).alias("z"), F.sum("c").alias("c")).collect()

@@ -27,7 +27,9 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,9 @@ from .shared import Workspace, ship
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 512
-INTERVAL = 512
-BLOCK = 1 << 19
+LANES = 2048
+INTERVAL = 256
+BLOCK = 1 << 20
 HEAD = struct.Struct("<4sIIQQIIIII")
 
 #: Texts of these characters alone are cut into words here; the library encodes each word once.
@@ -52,7 +54,7 @@ KEPT = 700_000
 
 
 class Encoder:
-    """The tokenizers library with a dictionary of words met before."""
+    """The tokenizers library with a dictionary of runs between white space met before."""
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -64,23 +66,38 @@ class Encoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.symbols = {b: s for b, s in enumerate(byte_symbols())}
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.code = array("HI"[self.width // 4]).typecode
         self.kept: dict[str, bytes] = {}
 
+    def pack(self, ids: list[int]) -> bytes:
+        """Ids as little-endian unsigned integers of ``width`` bytes."""
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def word(self, w: str) -> bytes:
         if not w.isascii():
             w = w.encode().decode("latin-1").translate(self.symbols)
-        return np.array([t.id for t in self.model.tokenize(w)], "<u4").tobytes()
+        return self.pack([t.id for t in self.model.tokenize(w)])
+
+    def known(self, w: str) -> bytes:
+        ids = self.kept.get(w)
+        if ids is None:
+            ids = self.kept[w] = self.word(w)
+        return ids
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids of a text, packed."""
         if NOT_PLAIN.search(text):
-            return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        words = WORD.findall(text.lower())
+            return self.pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        runs = text.lower().split()  # no word goes over white space
         if len(self.kept) > KEPT:
             self.kept.clear()
-        fresh = set(words).difference(self.kept)
-        self.kept.update(zip(fresh, map(self.word, fresh), strict=True))
-        return b"".join(map(self.kept.__getitem__, words))
+        for run in set(runs).difference(self.kept):
+            self.kept[run] = self.known(run) if run.isalpha() else b"".join(map(self.known, WORD.findall(run)))
+        return b"".join(map(self.kept.__getitem__, runs))
 
 
 _LOADED: dict[str, Encoder] = {}
@@ -180,10 +197,6 @@ def decode(body: bytes, table: Table, first: int = 0, last: int | None = None) -
     return out
 
 
-def fits_half(raw: bytes) -> bool:
-    return int(np.frombuffer(raw, "<u4").max(initial=0)) < 1 << 16
-
-
 def write(docs: DataFrame, file: str, path: str, work: Workspace, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode all texts, each followed by ``end_id``, into the dataset at ``path``."""
     spark = docs.sparkSession
@@ -195,24 +208,24 @@ def write(docs: DataFrame, file: str, path: str, work: Workspace, end_id: int =
 
     def tokenise(batches):
         enc = encoder(file)
-        end = np.array([end_id], "<u4").tobytes()
+        end, width = enc.pack([end_id]), enc.width
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             raw = [enc.encode(t or "") + end for t in b.column(1).to_pylist()]
             key = np.nan_to_num(np.asarray(b.column(0).cast(pa.float64()).fill_null(-np.inf)), neginf=-np.inf)
-            small = [b"\2" + pack(np.frombuffer(x, "<u4").astype("<u2").tobytes()) if fits_half(x) else b"\4" + pack(x) for x in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.searchsorted(bounds, key, "left").astype(np.int32)), pa.array([len(x) // 4 for x in raw], pa.int32()), pa.array(small, pa.binary())], ["doc", "part", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.searchsorted(bounds, key, "left").astype(np.int32)), pa.array([len(x) // width for x in raw], pa.int32()), pa.array(map(pack, raw), pa.binary())], ["doc", "part", "n", "ids"])
 
     def gather(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         pack = zstandard.ZstdCompressor(level=3).compress
+        width = encoder(file).width
         names = ["part", "seq", "start", "docs", "sizes", "ids"]
         state = {"part": None, "seq": 0, "start": 0}
         docs_, sizes, ids, n = [], [], [], 0
 
         def flush():
             nonlocal docs_, sizes, ids, n
-            out = pa.RecordBatch.from_arrays([pa.array([state["part"]], pa.int32()), pa.array([state["seq"]], pa.int32()), pa.array([state["start"]], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack(b"".join(ids))], pa.binary())], names)
+            out = pa.RecordBatch.from_arrays([pa.array([state["part"]], pa.int32()), pa.array([state["seq"]], pa.int32()), pa.array([state["start"]], pa.int64()), pa.array([docs_], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([pack(np.frombuffer(b"".join(ids), f"<u{width}").astype("<u4").tobytes())], pa.binary())], names)
             state["seq"] += 1
             state["start"] += n
             docs_, sizes, ids, n = [], [], [], 0
@@ -228,7 +241,7 @@ def write(docs: DataFrame, file: str, path: str, work: Workspace, end_id: int =
                     yield flush()
                 docs_.append(doc)
                 sizes.append(size)
-                ids.append(np.frombuffer(unpack(packed[1:]), f"<u{packed[0]}").astype("<u4").tobytes())
+                ids.append(unpack(packed))
                 n += size
         if sizes:
             yield flush()

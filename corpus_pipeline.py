@@ -40,8 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids of each text."""
-    return bpe.encode_documents(docs, tokenizer_file(BYTE_BPE)).withColumn("ids_sha256", F.sha2("ids", 256))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, lossless, ids of each text; lossless: the ids decode to it."""
+    return bpe.encode_and_decode(docs, tokenizer_file(BYTE_BPE))
 
 
 STAGES = [

@@ -44,6 +44,7 @@ NOT_PLAIN = r"[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]"
 SLICE = 1 << 16
 SHORT = 48
 KEPT = 300_000
+DECODED = 1 << 16
 _NONE = 1 << 62
 
 
@@ -223,6 +224,35 @@ def decode_documents(encoded: DataFrame, file: str, id_col: str = "doc_id") -> D
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
+def encode_and_decode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_tokens, ids_sha256, decoded_sha256, lossless, ids.
+
+    The ids given out are themselves decoded, DECODED of them at a time; lossless
+    says whether the result is the text.
+    """
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def row(voc: Vocabulary, text: str) -> tuple[int, str, str, bool, bytes]:
+        ids = b"".join(voc.encode(text))
+        out = hashlib.sha256()
+        for piece in voc.decode(ids[k : k + 4 * DECODED] for k in range(0, len(ids), 4 * DECODED)):
+            out.update(piece.encode("utf-8", "surrogatepass"))
+        same = out.digest() == hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+        return len(ids) // 4, hashlib.sha256(ids).hexdigest(), out.hexdigest(), same, ids
+
+    types = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
+
+    def run(batches):
+        voc = vocabulary(file)
+        for b in batches:
+            rows = [row(voc, t or "") for t in b.column(1).to_pylist()]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(list(c), k) for c, k in zip(columns, types, strict=True))], [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "lossless", "ids"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, lossless boolean, ids binary")
+
+
 def round_trip(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_tokens, ids_sha256, decoded_sha256, lossless.
 

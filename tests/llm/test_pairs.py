@@ -1,11 +1,15 @@
 """Top-k, near-duplicates and the pipeline against brute force."""
 
+import hashlib
+import json
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lacewing.llm import bpe, neardup, topk
 from lacewing.llm import components as C
-from lacewing.llm import neardup, topk
 from lacewing.llm.shared import Workspace
 
 SF = "/root/testdata/sf0.001"
@@ -147,3 +151,19 @@ def test_pipeline_stage_by_stage(spark):
     out = P.run(spark, SF).collect()
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in out} == {k: lib.encode(t, add_special_tokens=False).ids for k, t in text.items()}
     work.close()
+
+
+def test_pipeline_tokens_are_decoded(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rows = [(1, "plain words"), (2, None), (3, ""), (4, "\u00e4\u4e2d\U0001f600 <|endoftext|> x"), (5, "ab \u4e2d" * 40_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    out = {r.doc_id: r for r in P.tokens(spark, docs, SF).collect()}
+    assert {k: (r.decoded_sha256, r.lossless) for k, r in out.items()} == {k: (sha(t or ""), True) for k, t in rows}
+    assert all(hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 and len(r.ids) == 4 * r.n_tokens for r in out.values())
+    spec = json.loads(Path(P.tokenizer_file(P.BYTE_BPE)).read_text())
+    spec["model"]["vocab"]["x"], spec["model"]["merges"] = spec["model"]["vocab"]["y"], []  # one id for two bytes: it can't decode to both
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    bad = bpe.encode_and_decode(spark.createDataFrame([(1, "axb"), (2, "ab")], "doc_id long, text string"), str(tmp_path / "v.json")).collect()
+    assert {r.doc_id: (r.lossless, r.decoded_sha256 == sha("ayb")) for r in bad} == {1: (False, True), 2: (True, False)}

@@ -9,9 +9,11 @@ Disclosure.  The values found are the protected entities c.  The corpus gives
 p(c), p(t) and p(c, t) as shares of distinct texts (copies count once), t being a
 word of LETTERS letters or more, A-Z lowered.  With IC(c) = -log2 p(c) and
 PMI(c, t) = log2 p(c, t) / (p(c) p(t)), the ratio PMI / IC says how much of c's
-information t gives away (1: t occurs with c only).  In texts that hold c, terms
-with a ratio of REMOVE or more are removed, of GENERALISE or more are replaced by
-a general sign, provided SUPPORT distinct texts have both.
+information t gives away (near 1: t occurs with c only).  p(t) is smoothed: t is
+taken to be in UNSEEN more texts, without c, so that a ratio that rests on few texts
+is lowered by what one more text could change.  No value and no term is left out for
+being in few texts.  In texts that hold c, terms with a ratio of REMOVE or more are
+removed, of GENERALISE or more are replaced by a general sign.
 
 Null and empty texts have no spans.  A text without base spans has no others.
 Repeated rows and ids each get their own result.  Extra columns are passed through
@@ -41,7 +43,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.|$)){4}$"
 LETTERS = 4
 TERM = r"(?<!\p{L})\p{L}{4,}+"
-REMOVE, GENERALISE, SUPPORT = 0.9, 0.75, 3
+REMOVE, GENERALISE, UNSEEN = 0.9, 0.75, 1
 BROADCAST_ROWS = 200_000
 CHUNK = 256
 SPAN = "struct<start:bigint,kind_no:int,stop:bigint,kind:string,value:string>"
@@ -113,33 +115,41 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(_lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], _lower(s["value"]))))
+
+
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     """(entity, term, ratio) of terms that give away an entity of the corpus.
 
     ``found`` has _key, _text, _base of the texts with base spans.
     """
-    n = docs.select(F.xxhash64(text_col).alias("h")).where("h is not null").agg(F.approx_count_distinct("h", 0.02)).first()[0]
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"))
+    n = texts.select(F.xxhash64("text").alias("h"), F.sha1("text").alias("s")).distinct().count()
     once = found.groupBy(F.xxhash64("_text").alias("h"), F.sha1("_text").alias("s")).agg(F.min("_key").alias("_key")).select("_key")
     units = found.join(once, "_key")
-    per = units.select("_key", F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], _lower(s["value"]))))).alias("entity"))
-    often = per.groupBy("entity").agg(F.count("*").alias("dc")).where(F.col("dc") >= SUPPORT)
-    held = per.join(often, "entity").groupBy("_key").agg(F.collect_set(F.struct("entity", "dc")).alias("e"))
+    per = units.select("_key", F.explode(_entities(F.col("_base"))).alias("entity"))
+    counted = per.join(per.groupBy("entity").agg(F.count("*").alias("dc")), "entity")
+    # values of the same single text have the same ratios, so one stands for all of them
+    single = F.col("dc") == 1
+    held = counted.groupBy("_key").agg(F.collect_list(F.when(~single, F.struct("entity", "dc"))).alias("e"), F.min(F.when(single, F.struct("entity", "dc"))).alias("one"))
+    held = held.select("_key", F.concat("e", F.when(F.col("one").isNull(), F.array().cast("array<struct<entity:string,dc:bigint>>")).otherwise(F.array("one"))).alias("e"))
     pairs = units.join(held, "_key").select("e", F.explode(_terms(F.col("_text"))).alias("term")).select(F.explode("e").alias("e"), "term")
-    pairs = pairs.groupBy(F.col("e.entity").alias("entity"), F.col("e.dc").alias("dc"), "term").agg(F.count("*").alias("dct")).where(F.col("dct") >= SUPPORT)
+    pairs = pairs.groupBy(F.col("e.entity").alias("entity"), F.col("e.dc").alias("dc"), "term").agg(F.count("*").alias("dct"))
     # a term is at least as common as with the entity; only ratios that can reach the threshold go on
-    ratio = lambda dt: (F.log2(F.col("dct") * float(n) / (F.col("dc") * dt))) / F.log2(F.greatest(F.lit(1.0 + 1e-9), F.lit(float(n)) / F.col("dc")))
+    ratio = lambda dt: (F.log2(F.col("dct") * float(n) / (F.col("dc") * (dt + UNSEEN)))) / F.log2(F.greatest(F.lit(1.0 + 1e-9), F.lit(float(n)) / F.col("dc")))
     work = Workspace(found.sparkSession, "terms")
     pairs = work.cut(pairs.where(ratio(F.col("dct")) >= GENERALISE), "pairs")
     terms = work.cut(pairs.groupBy("term").agg(F.lit(1).alias("one")).select("term"), "terms")
     known = terms.count()
     if not known:
         return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
-    every = docs.where(F.col(text_col).isNotNull()).select(F.explode(_terms(F.col(text_col))).alias("term"))
+    every = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
     if known <= BROADCAST_ROWS:
         counts = every.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("dt"))
     else:
         counts = every.groupBy("term").agg(F.count("*").alias("dt")).join(terms, "term", "left_semi")
-    return work.cut(pairs.join(counts, "term").withColumn("ratio", ratio(F.greatest("dt", "dct"))).where(F.col("ratio") >= GENERALISE).select("entity", "term", "ratio"), "ratios")
+    return work.cut(pairs.join(counts, "term").withColumn("ratio", ratio(F.col("dt"))).where(F.col("ratio") >= GENERALISE).select("entity", "term", "ratio"), "ratios")
 
 
 def detect(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -155,7 +165,7 @@ def detect(docs: DataFrame, text_col: str = "text", carry: list[str] | None = No
     table = work.cut(rows.select("_row", F.when(F.col("_has"), F.col("_text")).alias("_text"), "_base").withColumn("_key", F.monotonically_increasing_id()), "base")
     found = table.where(F.size("_base") > 0)
     terms = disclosing(found.select("_key", "_text", "_base"), docs, text_col)
-    mine = found.select("_key", F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], _lower(s["value"]))))).alias("entity")).join(terms, "entity")
+    mine = found.select("_key", F.explode(_entities(F.col("_base"))).alias("entity")).join(terms, "entity")
     mine = mine.groupBy("_key", "term").agg(F.max("ratio").alias("ratio")).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("_terms"))
     more = found.join(mine, "_key", "left").withColumn("_runs", F.when(F.col("_terms").isNotNull(), F.regexp_extract_all("_text", F.lit(TERM), F.lit(0))).otherwise(F.array().cast("array<string>")))
     more = more.withColumn("_at", located(F.col("_text"), F.col("_runs"), TERM, len(KINDS), "term"))

@@ -104,6 +104,17 @@ def test_disclosing_terms(spark):
     assert pii.findings(docs(spark, rows).where("false")).count() == 0
 
 
+def test_disclosing_terms_of_rare_values(spark):
+    rows = [(k, f"alpha beta gamma delta text number {'Zorbulon' if k < 1 else ''} {'Quendrix' if 1 <= k < 3 else ''} {'x@y.zz' if k < 1 else 'p@q.rr' if k < 3 else ''} {chr(97 + k % 26) * 3}{k}") for k in range(400)]
+    got = {r.doc_id: r.spans for r in pii.findings(docs(spark, rows)).collect()}
+    for k, word, dc in ((0, "Zorbulon", 1), (1, "Quendrix", 2), (2, "Quendrix", 2)):
+        ratio = np.log2(400 / (dc + pii.UNSEEN)) / np.log2(400 / dc)
+        at = rows[k][1].index(word)
+        terms = [x for x in got[k].split(",") if not x.startswith("email")]
+        assert terms == [f"{'remove' if ratio >= pii.REMOVE else 'generalise'}:{at}:{at + 8}"] and ratio >= pii.GENERALISE
+    assert not any(got[k] for k in range(3, 400))
+
+
 def test_language(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.identify(table.unionByName(table.limit(1).selectExpr("-1L as doc_id", "null as text", "null as lang", "source", "n_chars")).unionByName(table.limit(1).selectExpr("-2L as doc_id", "'123 !?' as text", "'fr' as lang", "source", "n_chars")), per_language=100)

@@ -144,7 +144,7 @@ def disclosing(found: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     known = terms.count()
     if not known:
         return pairs.select("entity", "term", F.lit(0.0).alias("ratio"))
-    every = texts.select(F.explode(_terms(F.col("text"))).alias("term"))
+    every = texts.distinct().select(F.explode(_terms(F.col("text"))).alias("term"))
     if known <= BROADCAST_ROWS:
         counts = every.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("dt"))
     else:

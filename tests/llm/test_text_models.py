@@ -115,6 +115,12 @@ def test_disclosing_terms_of_rare_values(spark):
     assert not any(got[k] for k in range(3, 400))
 
 
+def test_disclosing_terms_count_copies_once(spark):
+    rows = [(k, f"alpha beta {'Zorbulon x@y.zz' if k < 3 else ''} {k}") for k in range(103)] + [(1000 + k, "alpha beta Zorbulon x@y.zz 0") for k in range(1000)]
+    got = {r.doc_id: r.spans for r in pii.findings(docs(spark, rows)).collect()}
+    assert all("remove:11:19" in got[k] for k in (0, 1, 2, 1000, 1999)) and got[50] == ""
+
+
 def test_language(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.identify(table.unionByName(table.limit(1).selectExpr("-1L as doc_id", "null as text", "null as lang", "source", "n_chars")).unionByName(table.limit(1).selectExpr("-2L as doc_id", "'123 !?' as text", "'fr' as lang", "source", "n_chars")), per_language=100)

@@ -14,7 +14,8 @@
     of longer lists meet once for each pivot, in blocks of documents of like size;
     block pairs are compared as matrices.  Nothing has a cap.
 4.  Estimates.  A pair goes on if 128 one-bit minima (one for each 1/128 of the hash
-    range) and then the sketch of the union of both allow a similarity of 0.8.
+    range) and then the sketch of the union of both allow a similarity of 0.8.  For two
+    sets of K or fewer shingles the second test is exact.
 5.  Verification counts the intersection of the full sets.  Links are exact.
 
 Components come from distributed contraction.  What is broadcast is a bit filter
@@ -115,8 +116,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, work: Works
     # sketch of the union: its K smallest values; the share held by both estimates the similarity
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     held = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    slack = F.when((F.col("na") <= K) & (F.col("nb") <= K), 0.0).otherwise(5.0 * (percent / 100 * (1 - percent / 100)) ** 0.5)
-    enough = held >= percent / 100 * F.size(union) - slack * F.sqrt(F.size(union))
+    slack = 5.0 * (percent / 100 * (1 - percent / 100)) ** 0.5
+    # sketches of K or fewer values are the sets themselves, with a union of up to twice K: not cut, it is exact
+    both = F.size(F.array_intersect("sa", "sb"))
+    exact = 100 * both >= percent * (F.col("na") + F.col("nb") - both)
+    enough = F.when((F.col("na") <= K) & (F.col("nb") <= K), exact).otherwise(held >= percent / 100 * F.size(union) - slack * F.sqrt(F.size(union)))
     likely = work.cut(pairs.join(s1, "a").join(s2, "b").where(enough).select("a", "b"), f"{name}-likely")
     ends = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).groupBy("id").agg(F.lit(1).alias("one")).select("id")
     full = _full_sets(docs, ends, id_col, text_col, n)

@@ -100,6 +100,18 @@ def test_near_duplicates(spark, monkeypatch, n, small, block):
     assert got == brute_groups(rows, n)
 
 
+def test_near_duplicates_of_about_k_shingles(spark):
+    rows = []
+    for a, b, both in ((64, 64, 57), (64, 62, 56), (62, 61, 55), (60, 58, 53), (54, 52, 48), (64, 52, 52), (64, 64, 56), (70, 64, 60)):
+        for c in range(20):
+            word = [f"w{a}x{b}x{both}x{c}x{k}" for k in range(a + b - both)]
+            rows += [" ".join(word[:a]), " ".join(word[a - both :])]
+    rows = list(enumerate(rows))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), n=1).collect())
+    assert got == brute_groups(rows, 1)
+    assert sum(not kept for *_, kept in got) == 140  # all pairs but those of 64, 64 and 56: 0.78
+
+
 def test_deduplicate_keeps_columns_and_odd_rows(spark):
     df = spark.createDataFrame([(3, "x y z u v w", "a"), (1, "X y z u v w", "b"), (2, None, "c"), (4, "", "d"), (None, "p q", "e")], "doc_id bigint, text string, _slot string")
     got = neardup.deduplicate(df.withColumnRenamed("_slot", "root"))

@@ -8,9 +8,13 @@ buckets).  So the parameters of the latent states have a fixed size while every
 token of the corpus keeps its own probability.
 
 Training: Baum-Welch.  Each task walks its texts forwards and backwards, many
-texts in step, and returns expected counts of starts, transitions and emissions;
-Spark adds them over all partitions.  Texts are walked in stretches of at most
-STRETCH tokens.  All training texts are used, and their whole length.
+texts in step, and returns expected counts of starts, transitions and emissions and
+the logarithm of its texts' likelihood; Spark adds them over all partitions.  Texts
+are walked from their first token to their last.  Rounds go on until the likelihood
+gains less than TOLERANCE of itself twice in succession and no more the second time:
+from states that are nearly alike the gains are small at first and then grow.  That is
+done with about FEW tokens first, which only gives the states to begin with, and then
+with all training texts.
 
 Scoring: scaled forward recursion over the whole text, exact for any length, plus
 the shares of tokens within buckets.  Counts of the TOP most frequent tokens are
@@ -37,7 +41,9 @@ STATES = 6
 OWN = 2048
 BUCKETS = 2048
 TOP = 65_536
-STRETCH = 512
+STEADY = 512
+TOLERANCE = 1e-4
+FEW = 1_000_000
 GROUP = 2_000_000
 END = np.int64(0x5BD1E995)
 SLOTS = 20
@@ -100,6 +106,10 @@ class Model:
 
     def expect(self, cls: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, moves and emissions over some sequences."""
+        return self.expect_and_log(cls, off)[:3]
+
+    def expect_and_log(self, cls: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The expected counts, and the log of the probability of all the sequences."""
         size = np.diff(off)
         order = np.argsort(-size, kind="stable")
         at, size = off[:-1][order], size[order]
@@ -121,6 +131,8 @@ class Model:
         for t in range(steps - 1, 0, -1):
             n = live[t]
             k = at[:n] + t
+            if t % STEADY == 0:  # alpha times beta sums to 1 but for rounding
+                beta[:n] /= (alpha[k] * beta[:n]).sum(1, keepdims=True)
             right = emit[cls[k]] * beta[:n] / scale[k][:, None]
             gamma[k] *= beta[:n]
             moves += alpha[k - 1].T.astype(np.float64) @ right
@@ -128,7 +140,7 @@ class Model:
         if steps:
             gamma[at] *= beta
         out = np.stack([np.bincount(cls, weights=gamma[:, j], minlength=OWN + BUCKETS) for j in range(STATES)], 1)
-        return gamma[at].sum(0, dtype=np.float64), moves * self.move, out
+        return gamma[at].sum(0, dtype=np.float64), moves * self.move, out, float(np.log(scale).sum(dtype=np.float64))
 
     def log10(self, cls: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log10 probability of each sequence, by scaled forward recursion."""
@@ -148,15 +160,6 @@ class Model:
         return out
 
 
-def _stretches(off: np.ndarray) -> np.ndarray:
-    """Offsets with further ones inside rows, at most STRETCH apart."""
-    size = np.diff(off)
-    many = np.maximum(1, -(-size // STRETCH))
-    first = np.cumsum(many) - many
-    inside = np.arange(many.sum()) - np.repeat(first, many)
-    return np.append(np.repeat(off[:-1], many) + inside * STRETCH, off[-1])
-
-
 def _groups(batches, column: int, most: int):
     """Token hashes and offsets of whole rows, about ``most`` tokens at a time, with the batches they are from."""
     held, n = [], 0
@@ -227,7 +230,7 @@ def most_frequent(counts: DataFrame):
     return rows.orderBy(F.desc("c"), "h").toPandas()
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learned from rows whose crc32 of the id as text leaves another remainder than 1
@@ -237,8 +240,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     work = Workspace(spark, "lm")
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 1
-    train = docs.where(~held_out).select(F.col(text_col).alias("text"))
-    counts = work.cut(count_tokens(train), "counts")
+    train = docs.where(~held_out).select(id_col, text_col)
+    counts = work.cut(count_tokens(train.select(text_col)), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     top = most_frequent(counts)
     known = Known(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
@@ -258,25 +261,40 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = Model.first(share)
     states = [f"s{j}" for j in range(STATES)]
     tables = spark.sparkContext.broadcast(known)
-    for _ in range(rounds if total.n else 0):
-        now = spark.sparkContext.broadcast(model)
-
-        def expect(batches, now=now):
-            m, know = now.value, tables.value
-            start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((OWN + BUCKETS, STATES))
-            for held in _groups(batches, 0, GROUP):
-                h, off = _joined(held)
-                s, v, e = m.expect(know.classes(h, know.find(h)), _stretches(off))
-                start, move, emit = start + s, move + v, emit + e
-            table = np.vstack([start, move, emit])
-            full = np.flatnonzero(table.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(table[full, j]) for j in range(STATES))], ["row", *states])
-
-        sums = train.mapInArrow(expect, "row bigint, " + ", ".join(f"{s} double" for s in states)).groupBy("row").agg(*(F.sum(s).alias(s) for s in states)).toPandas()
-        table = np.zeros((1 + STATES + OWN + BUCKETS, STATES))
-        table[sums["row"].to_numpy(np.int64)] = sums[states].to_numpy()
-        model = Model.of(table[0], table[1 : 1 + STATES], table[1 + STATES :], share)
-        now.unpersist()
+
+    def trained(model: Model, texts: DataFrame) -> Model:
+        """Rounds over the texts until the likelihood is steady."""
+        logs, small = [], 0
+        while small < 2:
+            now = spark.sparkContext.broadcast(model)
+
+            def expect(batches, now=now):
+                m, know = now.value, tables.value
+                start, move, emit, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((OWN + BUCKETS, STATES)), np.zeros(STATES)
+                for held in _groups(batches, 0, GROUP):
+                    h, off = _joined(held)
+                    s, v, e, p = m.expect_and_log(know.classes(h, know.find(h)), off)
+                    start, move, emit = start + s, move + v, emit + e
+                    log[0] += p
+                table = np.vstack([start, move, emit, log])
+                full = np.flatnonzero(table.any(1))
+                yield pa.RecordBatch.from_arrays([pa.array(full), *(pa.array(table[full, j]) for j in range(STATES))], ["row", *states])
+
+            sums = texts.mapInArrow(expect, "row bigint, " + ", ".join(f"{s} double" for s in states)).groupBy("row").agg(*(F.sum(s).alias(s) for s in states)).toPandas()
+            table = np.zeros((2 + STATES + OWN + BUCKETS, STATES))
+            table[sums["row"].to_numpy(np.int64)] = sums[states].to_numpy()
+            model = Model.of(table[0], table[1 : 1 + STATES], table[1 + STATES : -1], share)
+            now.unpersist()
+            logs.append(table[-1, 0])
+            gains = np.diff(logs)
+            less = len(gains) > 0 and not gains[-1] > tolerance * abs(logs[-1])
+            small = (small + 1 if small == 0 or not gains[-1] > gains[-2] else 1) if less else 0
+        return model
+
+    if total.n > 2 * FEW:
+        model = trained(model, work.cut(train.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(int(total.n // FEW))) == 0).select(F.col(text_col).alias("text")), "few"))
+    if total.n:
+        model = trained(model, train.select(F.col(text_col).alias("text")))
     final = spark.sparkContext.broadcast((model, np.log10(mass)))
     denominator = float(np.log10(total.n + 0.5 * (total.v + 1)))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -150,6 +150,31 @@ def test_quality_held_out(spark):
     assert quality.score(docs(spark, [(1, "a"), (2, None)]), None, ["doc_id"]).where("kept").count() == 1
 
 
+@pytest.mark.parametrize("few", [10_000, 1_000_000])
+def test_language_model_converges(spark, monkeypatch, few):
+    monkeypatch.setattr(lm, "FEW", few)
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(60):  # topics that last for about 25 words
+        words, topic = [], 0
+        for _ in range(1500 if k < 20 else 300):
+            topic = int(r.integers(3)) if r.random() < 0.04 else topic
+            words.append(f"t{topic}w{r.integers(30)}")
+        rows.append((k, " ".join(words)))
+    got = lm.score_documents(docs(spark, rows)).collect()
+    gain = sum(x.score - x.base_score for x in got) / sum(x.n_tokens for x in got)
+    assert gain > 0.25  # of the log10(3) = 0.48 that knowing the topic would give
+
+
+def test_expected_counts_of_long_texts(spark):
+    r = np.random.default_rng(9)
+    m = lm.Model(r.dirichlet(np.ones(lm.STATES)), r.dirichlet(np.ones(lm.STATES), lm.STATES), r.dirichlet(np.ones(lm.OWN + lm.BUCKETS), lm.STATES).T)
+    cls, off = r.integers(0, 40, 2100), np.array([0, 2000, 2100])
+    start, moves, emit, log = m.expect_and_log(cls, off)
+    assert np.isclose(start.sum(), 2, rtol=1e-4) and np.isclose(moves.sum(), 2098, rtol=1e-4) and np.isclose(emit.sum(), 2100, rtol=1e-4)
+    assert np.isclose(log / np.log(10), m.log10(cls, off).sum(), rtol=1e-5)
+
+
 def test_language_model(spark):
     r = np.random.default_rng(5)
     rows = [(k, " ".join(r.choice(["A", "b", "c", "d", f"rare{k}"], int(r.integers(0, 30))))) for k in range(60)] + [(60, None), (61, "unknown words only"), (7, "b c")]

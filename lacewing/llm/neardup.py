@@ -4,18 +4,19 @@
     is the K smallest of them.  Documents of equal sets (size and two 64-bit sums)
     are one class, which goes on as its smallest document.
 2.  Inverted lists.  Retained values are ranked by how many classes retain them,
-    rarest first.  Two sets with Jaccard similarity of 0.8 or more share at least
-    SHARED of K retained values (all but about 1 in 10**5 such pairs at 0.8 exactly, far fewer above, and
-    sets of K or fewer shingles always), so one at least is among the first K - SHARED + 1
-    of both; only these are put into lists.
+    rarest first.  Two sets of similarity ``percent`` / 100 or more share at least s
+    retained values, so one at least is among the first (retained - s + 1) of both;
+    only these are put into lists.  For a set of K or fewer shingles s follows from the
+    sizes alone and no link is lost (``heads``).  For two larger sets s is SHARED: of
+    10**8 such pairs of similarity 0.8 exactly fewer than two share less, far fewer above.
 3.  Each list links its members to its pivot, the member with most values that
     others retain too (then the smallest).  Where members are still in different
     components, short lists (SMALL members or fewer) compare all such pairs.  Members
     of longer lists meet once for each pivot, in blocks of documents of like size;
     block pairs are compared as matrices.  Nothing has a cap.
 4.  Estimates.  A pair goes on if 128 one-bit minima (one for each 1/128 of the hash
-    range) and then the sketch of the union of both allow a similarity of 0.8.  For two
-    sets of K or fewer shingles the second test is exact.
+    range) and then the sketch of the union of both allow a similarity of 0.8 (within
+    SIGMAS standard deviations).  For two sets of K or fewer shingles the second test is exact.
 5.  Verification counts the intersection of the full sets.  Links are exact.
 
 Components come from distributed contraction.  What is broadcast is a bit filter
@@ -34,7 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import IdFilter, components
@@ -42,7 +43,8 @@ from .kernel import Words, chunks, mix, shingles, strings
 from .shared import Workspace, ship
 
 K = 64
-SHARED = 37
+SHARED = 32
+SIGMAS = 6.0
 SMALL = 16
 BLOCK = 512
 BLOCK_ITEMS = 400_000
@@ -116,7 +118,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, work: Works
     # sketch of the union: its K smallest values; the share held by both estimates the similarity
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     held = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
-    slack = 5.0 * (percent / 100 * (1 - percent / 100)) ** 0.5
+    slack = SIGMAS * (percent / 100 * (1 - percent / 100)) ** 0.5
     # sketches of K or fewer values are the sets themselves, with a union of up to twice K: not cut, it is exact
     both = F.size(F.array_intersect("sa", "sb"))
     exact = 100 * both >= percent * (F.col("na") + F.col("nb") - both)
@@ -133,6 +135,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, work: Works
     return links
 
 
+def heads(n: Column, percent: int) -> Column:
+    """How many of its rarest retained values a set of n shingles puts into lists.
+
+    With K or fewer shingles all of them are retained.  A partner of as many at most
+    retains all of its own too, and at least percent * n of them are shared.  A larger
+    partner has m <= n * 100 / percent and retains K of them; at most (100 - percent) * m
+    / 100 of those are not shared.
+    """
+    whole = F.ceil(n * percent / 100.0)
+    larger = K - F.floor(n * (100 - percent) / float(percent))
+    return F.when(n > K, F.lit(K - SHARED + 1)).otherwise(n - F.least(whole, larger) + 1).cast("int")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable), kept."""
     spark = docs.sparkSession
@@ -147,8 +162,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     posted = base.select("id", F.explode("sketch").alias("v"))
     often = posted.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     ranked = posted.join(often, "v").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("many"))
-    first = F.when(F.col("n") > K, F.lit(K - SHARED + 1)).otherwise(F.col("n") - F.ceil(F.col("n") * percent / 100.0) + 4).cast("int")
-    room = first - (F.least("n", F.lit(K)) - F.size("many")).cast("int")  # values retained by no other come first and need no list
+    room = heads(F.col("n"), percent) - (F.least("n", F.lit(K)) - F.size("many")).cast("int")  # values retained by no other come first and need no list
     head = ranked.join(base.select("id", "n", "b1", "b2"), "id").where(room > 0).withColumn("shared", F.size("many")).withColumn("many", F.slice("many", F.lit(1), F.greatest(room, F.lit(0))))
     alone = (F.least("n", F.lit(K)) - F.col("shared")).cast("int")
     lists = head.select(F.explode("many.v").alias("v"), "id", "n", "b1", "b2", alone.alias("alone"))

@@ -112,6 +112,22 @@ def test_near_duplicates_of_about_k_shingles(spark):
     assert sum(not kept for *_, kept in got) == 140  # all pairs but those of 64, 64 and 56: 0.78
 
 
+def test_no_link_is_lost_between_sets_about_k(spark):
+    """A set of up to K shingles inside or beside one of other size, at 0.78 to 0.85, in groups of their own."""
+    rows, pair = [], []
+    r = np.random.default_rng(8)
+    for a in range(40, 91, 3):
+        for b in range(int(0.8 * a), a + 1, 4):
+            for share in (0.78, 0.8, 0.81, 0.85):
+                both = min(b, int(np.ceil(share * (a + b) / (1 + share))))
+                for c in range(3):
+                    word = [f"w{int(r.integers(1 << 40))}" for _ in range(a + b - both)]
+                    pair.append((len(rows), 100 * both >= 80 * (a + b - both)))
+                    rows += [" ".join(word[:a]), " ".join(word[a - both :])]
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string"), n=1).collect()}
+    assert [got[k + 1] == k for k, _ in pair] == [linked for _, linked in pair] and sum(x for _, x in pair) > 500
+
+
 def test_deduplicate_keeps_columns_and_odd_rows(spark):
     df = spark.createDataFrame([(3, "x y z u v w", "a"), (1, "X y z u v w", "b"), (2, None, "c"), (4, "", "d"), (None, "p q", "e")], "doc_id bigint, text string, _slot string")
     got = neardup.deduplicate(df.withColumnRenamed("_slot", "root"))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Workspace
@@ -60,5 +61,22 @@ class IdFilter:
         return (self.bits[slots >> 6] >> (slots & 63)) & 1 == 1
 
     @staticmethod
-    def slot(column: str) -> F.Column:
-        return F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(F.col(column).cast("bigint")), F.lit(1 << FILTER_BITS)))
+    def slot(column: str | Column) -> Column:
+        c = F.col(column) if isinstance(column, str) else column
+        return F.when(c.isNotNull(), F.pmod(F.xxhash64(c.cast("bigint")), F.lit(1 << FILTER_BITS)))
+
+    def split(self, rows: DataFrame, key: str | Column) -> dict[bool, DataFrame]:
+        """The rows whose key can be one of the ids (True), and the others; null keys are others."""
+        held = rows.sparkSession.sparkContext.broadcast(self)
+        tagged = rows.withColumn("_slot", F.coalesce(self.slot(key), F.lit(-1)))
+
+        def part(wanted):
+            def run(batches):
+                for b in batches:
+                    slot = np.asarray(b.column(b.num_columns - 1))
+                    hit = (slot >= 0) & held.value.test(np.maximum(slot, 0))
+                    yield b.filter(pa.array(hit == wanted)).select(list(range(b.num_columns - 1)))
+
+            return tagged.mapInArrow(run, rows.schema)
+
+        return {wanted: part(wanted) for wanted in (False, True)}

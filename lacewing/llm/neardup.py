@@ -293,17 +293,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = Workspace(docs.sparkSession, "dedup")
     gone = near_duplicates(docs, id_col, text_col, n, percent).where("not kept").select(F.col(id_col).cast("bigint").alias("id"))
     gone = work.cut(gone.groupBy("id").agg(F.lit(1).alias("one")).select("id"), "gone")
-    held = docs.sparkSession.sparkContext.broadcast(IdFilter(gone))
-    tagged = docs.withColumn("_slot", F.coalesce(IdFilter.slot(id_col), F.lit(-1)))
-
-    def split(wanted):
-        def run(batches):
-            for b in batches:
-                slot = np.asarray(b.column(b.num_columns - 1))
-                hit = (slot >= 0) & held.value.test(np.maximum(slot, 0))
-                yield b.filter(pa.array(hit == wanted)).select(list(range(b.num_columns - 1)))
-
-        return tagged.mapInArrow(run, docs.schema)
-
-    maybe = split(True)
-    return split(False).unionByName(maybe.join(gone, maybe[id_col].cast("bigint") == gone["id"], "left_anti"))
+    part = IdFilter(gone).split(docs, id_col)
+    return part[False].unionByName(part[True].join(gone, part[True][id_col].cast("bigint") == gone["id"], "left_anti"))

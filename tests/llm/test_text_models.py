@@ -27,10 +27,10 @@ def test_overlaps_tolerate_substitutions(spark):
     item = WORDS[:20]
     hurt = item.copy()
     hurt[4] = hurt[11] = hurt[16] = "zzz"
-    rows = [(1, "a b " + " ".join(item).upper() + " c"), (2, " ".join(["x"] * 30 + hurt)), (3, " ".join(item[::-1])), (4, " ".join(item[:4])), (5, None), (6, ""), (1, " ".join(item))]
+    rows = [(1, "a b " + " ".join(item).upper() + " c"), (2, " ".join(["x"] * 30 + hurt)), (3, " ".join(item[::-1])), (4, " ".join(item[:4])), (9, "a q r b q r"), (5, None), (6, ""), (1, " ".join(item))]
     bench = spark.createDataFrame([(7, " ".join(item)), (8, "q r"), (9, None), (None, "x"), (10, " ".join(WORDS[50:56]))], "item_id bigint, text string")
     got = sorted((r.doc_id, r.item_id, r.start_word, r.n_words, r.n_equal) for r in decontam.overlaps(docs(spark, rows), bench).collect())
-    assert got == [(1, 7, 0, 20, 20), (1, 7, 2, 20, 20), (2, 7, 30, 16, 14)]  # the stretch to word 20 scores the same, 17 - 9, and ends later
+    assert got == [(1, 7, 0, 20, 20), (1, 7, 2, 20, 20), (2, 7, 30, 16, 14), (9, 8, 1, 2, 2)]  # the stretch to word 20 scores the same, 17 - 9, and ends later
     kept = decontam.remove_contaminated(docs(spark, rows), bench)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6] and kept.columns[-1] == "source"
     assert decontam.overlaps(docs(spark, rows), bench.where("false")).count() == 0
@@ -50,6 +50,64 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     rows = [(k, " ".join(WORDS[20 * k : 20 * k + 20])) for k in range(5)]
     got = sorted((r.doc_id, r.item_id) for r in decontam.overlaps(docs(spark, rows), bench).collect())
     assert got == [(k, k) for k in range(5)]
+    more = docs(spark, rows + [(7, "clean words"), (8, None), (2, "clean too")])
+    kept = decontam.remove_contaminated(more, bench)
+    assert kept.columns == more.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(2, "clean too"), (7, "clean words"), (8, None)]
+
+
+def plain_overlaps(text, items):
+    """Every diagonal of every item, one by one."""
+    own, out = text.split(), []
+    for item, words in enumerate(items):
+        found = []
+        for d in range(1 - len(words), len(own)):
+            lo, hi = max(0, -d), min(len(words), len(own) - d)
+            equal = [own[d + i] == words[i] for i in range(lo, hi)]
+            sums = [0]
+            for e in equal:
+                sums.append(sums[-1] + (1 if e else -3))
+            gains = [s - min(sums[: k + 1]) for k, s in enumerate(sums)]
+            end = gains.index(max(gains))
+            start = max(k for k in range(end + 1) if sums[k] == min(sums[: end + 1]))
+            same = sum(equal[start:end])
+            seeded = any(all(i + p in range(lo, hi) and equal[i + p - lo] for p, c in enumerate(m) if c == "1") and i + len(m) <= hi and i >= lo for m in decontam.MASKS for i in range(lo, hi)) or (len(words) < 4 and all(equal) and len(equal) == len(words))
+            if end > start and seeded and same >= 0.8 * min(12, len(words)) and same >= 0.8 * (end - start):
+                found.append((-same, d + lo + start, end - start))
+        if found:
+            same, start, n = min(found)
+            out.append((item, start, n, -same))
+    return out
+
+
+@pytest.mark.parametrize("hits, size", [(10**6, 10**6), (50, 40), (400, 1000)])
+def test_overlaps_by_brute_force(monkeypatch, hits, size):
+    """Few words that repeat, so windows meet often; in runs of rows, item by item, and by all diagonals."""
+    monkeypatch.setattr(decontam, "HITS", hits)
+    monkeypatch.setattr(decontam, "SLICE", size)
+    r = np.random.default_rng(6)
+    items = [list(r.choice(list("abcd"), n)) for n in (1, 2, 3, 4, 5, 9, 14, 30)] + [["a"] * 25, ["a", "b"] * 10]
+    texts = [" ".join(r.choice(list("abcdefgh"), int(r.integers(0, 60)))) for _ in range(25)] + ["a " * 70, "a b " * 40, " ".join(items[7]), ""]
+    block = decontam.Block(list(range(len(items))), [" ".join(x) for x in items])
+    import pyarrow as pa
+
+    data, off = decontam.strings(pa.array(texts))
+    got = sorted(block.search(decontam.Words(data, off)))
+    assert got == [(k, *x) for k, t in enumerate(texts) for x in plain_overlaps(t, items)]
+
+
+def test_overlaps_of_one_repeated_word():
+    import time
+    import tracemalloc
+
+    import pyarrow as pa
+
+    block = decontam.Block([1, 2], ["a " * 2000, "b a " * 1000])
+    data, off = decontam.strings(pa.array(["a " * 200_000]))
+    tracemalloc.start()
+    began = time.time()
+    assert list(block.search(decontam.Words(data, off))) == [(0, 0, 0, 2000, 2000)]
+    assert tracemalloc.get_traced_memory()[1] < 600e6 and time.time() - began < 120
+    tracemalloc.stop()
 
 
 def test_benchmark_passages_of_the_table_are_found(spark):

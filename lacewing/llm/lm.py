@@ -3,9 +3,12 @@
 Tokens are words (A-Z lowered) and one end mark for each text.  Training texts
 give counts of all tokens.  The most frequent OWN tokens are emission classes of
 their own; every other token belongs to one of BUCKETS classes by its hash, where
-its share is that of its count + 1/2 (one unseen token's 1/2 is spread over the
-buckets).  So the parameters of the latent states have a fixed size while every
-token of the corpus keeps its own probability.
+its share is that of its count + 1/2.  Each bucket has one unseen token, of count 0,
+so probabilities sum to 1 and an unseen token has about what its base gives it.  So
+the parameters of the latent states have a fixed size while every token of the corpus
+keeps its own probability.  Emissions have the shares of the classes among all tokens
+as their prior, with the weight of PRIOR tokens in each state; where a state has seen
+little it speaks like the whole corpus.
 
 Training: Baum-Welch.  Each task walks its texts forwards and backwards, many
 texts in step, and returns expected counts of starts, transitions and emissions and
@@ -43,6 +46,7 @@ BUCKETS = 2048
 TOP = 65_536
 STEADY = 512
 TOLERANCE = 1e-4
+PRIOR = 400.0
 FEW = 1_000_000
 GROUP = 2_000_000
 END = np.int64(0x5BD1E995)
@@ -101,7 +105,7 @@ class Model:
 
     @classmethod
     def of(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray) -> Model:
-        start, move, emit = start + 1e-3, move + 1e-3, emit + 1e-2 * share[:, None] + 1e-9
+        start, move, emit = start + 1e-3, move + 1e-3, emit + PRIOR * share[:, None]
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
     def expect(self, cls: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,18 +250,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = most_frequent(counts)
     known = Known(top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
     own = known.hash[known.own >= 0]
-    in_bucket = counts.groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("k")).agg(F.sum(F.col("c") + 0.5).alias("z"), F.sum("c").alias("c")).collect()
-    mass = np.full(BUCKETS, 0.5 / BUCKETS)
-    share = np.zeros(OWN + BUCKETS)
+    in_bucket = counts.groupBy(F.col("h").bitwiseAND(BUCKETS - 1).alias("k")).agg(F.sum(F.col("c") + 0.5).alias("z")).collect()
+    mass = np.full(BUCKETS, 0.5)
     for r in in_bucket:
         mass[r.k] += r.z
-        share[OWN + r.k] = r.c
     mine = known.own >= 0
     np.subtract.at(mass, own & (BUCKETS - 1), known.count[mine] + 0.5)
-    np.subtract.at(share, OWN + (own & (BUCKETS - 1)), known.count[mine])
-    mass = np.maximum(mass, 0.5 / BUCKETS)
-    share[known.own[mine]] = known.count[mine]
-    share = (share + 1e-3) / (share + 1e-3).sum()
+    mass = np.maximum(mass, 0.5)
+    share = np.concatenate([np.zeros(OWN), mass])
+    share[known.own[mine]] = known.count[mine] + 0.5
+    share /= share.sum()
     model = Model.first(share)
     states = [f"s{j}" for j in range(STATES)]
     tables = spark.sparkContext.broadcast(known)
@@ -339,11 +341,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = rare.join(counts, "h", "left").groupBy("key").agg(
         F.sum(F.col("times") * F.log10(c + 0.5)).alias("logs"),
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known"),
-        F.sum(F.when(c > 0, 0).otherwise(F.col("times"))).alias("unknown"),
     )
     zero = F.lit(0.0)
     return rows.drop("rare", "times").join(more, "key", "left").select(
         id_col, "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(total.n)).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", zero) - F.col("n_tokens") * F.lit(denominator)).alias("base_score"),
-        (F.col("score") + F.coalesce("logs", zero) - F.coalesce("unknown", F.lit(0)) * F.lit(float(np.log10(BUCKETS)))).alias("score"),
+        (F.col("score") + F.coalesce("logs", zero)).alias("score"),
     )

@@ -114,54 +114,60 @@ class Model:
 
     def expect_and_log(self, cls: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """The expected counts, and the log of the probability of all the sequences."""
-        size = np.diff(off)
-        order = np.argsort(-size, kind="stable")
-        at, size = off[:-1][order], size[order]
-        steps = int(size[0]) if len(size) else 0
-        live = np.searchsorted(-size, -np.arange(steps), "left")
-        move, emit = self.move.astype(np.float32), self.emit.astype(np.float32)
-        alpha = np.empty((len(cls), STATES), np.float32)
-        scale = np.empty(len(cls), np.float32)
+        cls, live, begin, _ = in_step(cls, off)
+        move, seen = self.move.astype(np.float32), self.emit.astype(np.float32).T[:, cls]  # state by token, as all below
+        alpha, scale = np.empty_like(seen), np.empty(len(cls), np.float32)
         a = None
-        for t in range(steps):
-            k = at[: live[t]] + t
-            a = (self.start.astype(np.float32)[None, :] if t == 0 else a[: live[t]] @ move) * emit[cls[k]]
-            s = a.sum(1)
-            a /= s[:, None]
-            alpha[k], scale[k] = a, s
+        for n, b in zip(live, begin, strict=True):
+            a = seen[:, b : b + n] * (self.start.astype(np.float32)[:, None] if a is None else move.T @ a[:, :n])
+            s = a.sum(0)
+            a /= s
+            alpha[:, b : b + n], scale[b : b + n] = a, s
         moves = np.zeros((STATES, STATES))
-        beta = np.ones((len(at), STATES), np.float32)
-        gamma = alpha
-        for t in range(steps - 1, 0, -1):
-            n = live[t]
-            k = at[:n] + t
+        first = int(live[0]) if len(live) else 0
+        beta = np.ones((STATES, first), np.float32)
+        for t in range(len(live) - 1, 0, -1):
+            n, b = live[t], begin[t]
+            here = alpha[:, b : b + n]
             if t % STEADY == 0:  # alpha times beta sums to 1 but for rounding
-                beta[:n] /= (alpha[k] * beta[:n]).sum(1, keepdims=True)
-            right = emit[cls[k]] * beta[:n] / scale[k][:, None]
-            gamma[k] *= beta[:n]
-            moves += alpha[k - 1].T.astype(np.float64) @ right
-            beta[:n] = right @ move.T
-        if steps:
-            gamma[at] *= beta
-        out = np.stack([np.bincount(cls, weights=gamma[:, j], minlength=OWN + BUCKETS) for j in range(STATES)], 1)
-        return gamma[at].sum(0, dtype=np.float64), moves * self.move, out, float(np.log(scale).sum(dtype=np.float64))
+                beta[:, :n] /= (here * beta[:, :n]).sum(0)
+            right = seen[:, b : b + n] * beta[:, :n]
+            right /= scale[b : b + n]
+            here *= beta[:, :n]
+            moves += alpha[:, begin[t - 1] : begin[t - 1] + n] @ right.T
+            beta[:, :n] = move @ right
+        alpha[:, :first] *= beta  # now the share of each state in each token
+        out = np.stack([np.bincount(cls, weights=alpha[j], minlength=OWN + BUCKETS) for j in range(STATES)], 1)
+        return alpha[:, :first].sum(1, dtype=np.float64), moves * self.move, out, float(np.log(scale).sum(dtype=np.float64))
 
     def log10(self, cls: np.ndarray, off: np.ndarray) -> np.ndarray:
         """log10 probability of each sequence, by scaled forward recursion."""
-        size = np.diff(off)
-        order = np.argsort(-size, kind="stable")
-        at, size = off[:-1][order], size[order]
-        total = np.zeros(len(at))
-        live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), "left")
-        a = None
-        for t, n in enumerate(live):
-            a = (self.start[None, :] if t == 0 else a[:n] @ self.move) * self.emit[cls[at[:n] + t]]
-            s = a.sum(1)
-            a /= s[:, None]
-            total[:n] += np.log10(s)
-        out = np.zeros(len(at))
-        out[order] = total
-        return out
+        cls, live, begin, row = in_step(cls, off)
+        scale, a = np.empty(len(cls)), None
+        for n, b in zip(live, begin, strict=True):
+            a = self.emit.T[:, cls[b : b + n]] * (self.start[:, None] if a is None else self.move.T @ a[:, :n])
+            scale[b : b + n] = s = a.sum(0)
+            a /= s
+        return np.bincount(row, weights=np.log10(scale), minlength=len(off) - 1)
+
+
+def in_step(cls: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes with all first tokens before all second ones and so on, longer sequences first.
+
+    Also, for each step, how many sequences still go on and where its tokens begin, and the
+    sequence of each token.
+    """
+    size = np.diff(off)
+    order = np.argsort(-size, kind="stable")
+    live = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
+    begin = np.cumsum(live) - live
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    row = np.repeat(np.arange(len(size)), size)
+    place = begin[np.arange(len(row)) - off[row]] + rank[row]
+    moved, of = np.empty_like(cls), np.empty_like(row)
+    moved[place], of[place] = cls, row
+    return moved, live, begin, of
 
 
 def _groups(batches, column: int, most: int):

@@ -48,7 +48,8 @@ STEADY = 512
 TOLERANCE = 1e-4
 PRIOR = 400.0
 FEW = 1_000_000
-GROUP = 2_000_000
+GROUP = 1_000_000
+COUNTED = 1_000_000
 END = np.int64(0x5BD1E995)
 SLOTS = 20
 
@@ -115,11 +116,11 @@ class Model:
     def expect_and_log(self, cls: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """The expected counts, and the log of the probability of all the sequences."""
         cls, live, begin, _ = in_step(cls, off)
-        move, seen = self.move.astype(np.float32), self.emit.astype(np.float32).T[:, cls]  # state by token, as all below
-        alpha, scale = np.empty_like(seen), np.empty(len(cls), np.float32)
+        move, emit = self.move.astype(np.float32), np.ascontiguousarray(self.emit.T, np.float32)
+        alpha, scale = np.empty((STATES, len(cls)), np.float32), np.empty(len(cls), np.float32)  # state by token, as all below
         a = None
         for n, b in zip(live, begin, strict=True):
-            a = seen[:, b : b + n] * (self.start.astype(np.float32)[:, None] if a is None else move.T @ a[:, :n])
+            a = emit[:, cls[b : b + n]] * (self.start.astype(np.float32)[:, None] if a is None else move.T @ a[:, :n])
             s = a.sum(0)
             a /= s
             alpha[:, b : b + n], scale[b : b + n] = a, s
@@ -131,7 +132,7 @@ class Model:
             here = alpha[:, b : b + n]
             if t % STEADY == 0:  # alpha times beta sums to 1 but for rounding
                 beta[:, :n] /= (here * beta[:, :n]).sum(0)
-            right = seen[:, b : b + n] * beta[:, :n]
+            right = emit[:, cls[b : b + n]] * beta[:, :n]
             right /= scale[b : b + n]
             here *= beta[:, :n]
             moves += alpha[:, begin[t - 1] : begin[t - 1] + n] @ right.T
@@ -163,8 +164,8 @@ def in_step(cls: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     begin = np.cumsum(live) - live
     rank = np.empty_like(order)
     rank[order] = np.arange(len(order))
-    row = np.repeat(np.arange(len(size)), size)
-    place = begin[np.arange(len(row)) - off[row]] + rank[row]
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    place = begin[np.arange(len(row)) - off[:-1][row]] + rank[row]
     moved, of = np.empty_like(cls), np.empty_like(row)
     moved[place], of[place] = cls, row
     return moved, live, begin, of
@@ -186,10 +187,28 @@ def _groups(batches, column: int, most: int):
         yield held
 
 
+def _coded_groups(batches, most: int):
+    """Classes and offsets of whole rows of a binary column, about ``most`` tokens at a time."""
+    held, n = [], 0
+    for b in batches:
+        data, off = strings(b.column(0))
+        for _, _, piece, own in chunks(data, off):
+            held.append((piece.view("<u2"), own // 2))
+            n += len(piece) // 2
+            if n >= most:
+                yield _end_to_end(held)
+                held, n = [], 0
+    if held:
+        yield _end_to_end(held)
+
+
+def _end_to_end(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    base = np.cumsum([0, *(len(x) for x, _ in held)])
+    return np.concatenate([x for x, _ in held]), np.concatenate([[0], *(to[1:] + base[k] for k, (_, to) in enumerate(held))])
+
+
 def _joined(held) -> tuple[np.ndarray, np.ndarray]:
-    h = np.concatenate([x for _, x, _ in held])
-    base = np.cumsum([0, *(len(x) for _, x, _ in held)])
-    return h, np.concatenate([[0], *(to[1:] + base[k] for k, (_, _, to) in enumerate(held))])
+    return _end_to_end([(h, to) for _, h, to in held])
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -210,10 +229,10 @@ def count_tokens(texts: DataFrame) -> DataFrame:
                 h, _ = tokens(piece, own)
                 kept.append(np.unique(h, return_counts=True))
                 n += len(kept[-1][0])
-                if n > 3_000_000:
+                if n > COUNTED:
                     kept = [flush()]
                     n = len(kept[0][0])
-                    if n > 1_500_000:
+                    if n > COUNTED // 2:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept[0]], ["h", "c"])
                         kept, n = [], 0
         if kept:
@@ -270,6 +289,16 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     states = [f"s{j}" for j in range(STATES)]
     tables = spark.sparkContext.broadcast(known)
 
+    def coded(batches):
+        """Classes of each text's tokens, as unsigned 16-bit integers."""
+        know = tables.value
+        for b in batches:
+            data, off = strings(b.column(1))
+            for first, end, piece, own in chunks(data, off):
+                h, to = tokens(piece, own)
+                c = know.classes(h, know.find(h)).astype("<u2")
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), pa.array([c[i:j].tobytes() for i, j in zip(to[:-1], to[1:], strict=True)], pa.binary())], ["pick", "classes"])
+
     def trained(model: Model, texts: DataFrame) -> Model:
         """Rounds over the texts until the likelihood is steady."""
         logs, small = [], 0
@@ -277,11 +306,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             now = spark.sparkContext.broadcast(model)
 
             def expect(batches, now=now):
-                m, know = now.value, tables.value
+                m = now.value
                 start, move, emit, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((OWN + BUCKETS, STATES)), np.zeros(STATES)
-                for held in _groups(batches, 0, GROUP):
-                    h, off = _joined(held)
-                    s, v, e, p = m.expect_and_log(know.classes(h, know.find(h)), off)
+                for cls, off in _coded_groups(batches, GROUP):
+                    s, v, e, p = m.expect_and_log(cls, off)
                     start, move, emit = start + s, move + v, emit + e
                     log[0] += p
                 table = np.vstack([start, move, emit, log])
@@ -299,10 +327,14 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             small = (small + 1 if small == 0 or not gains[-1] > gains[-2] else 1) if less else 0
         return model
 
-    if total.n > 2 * FEW:
-        model = trained(model, work.cut(train.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(int(total.n // FEW))) == 0).select(F.col(text_col).alias("text")), "few"))
     if total.n:
-        model = trained(model, train.select(F.col(text_col).alias("text")))
+        texts = train.select(F.xxhash64(id_col, text_col).alias("pick"), F.col(text_col).alias("text")).mapInArrow(coded, "pick bigint, classes binary")
+        texts = work.cut(texts, "classes")
+        if total.n > 2 * FEW:
+            few = texts.where(F.pmod("pick", F.lit(int(total.n // FEW))) == 0).select("classes")
+            model = trained(model, work.cut(few.coalesce(2), "few"))  # about FEW tokens, whatever the table
+        model = trained(model, texts.select("classes"))
+        work.drop("classes")
     final = spark.sparkContext.broadcast((model, np.log10(mass)))
     denominator = float(np.log10(total.n + 0.5 * (total.v + 1)))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -49,6 +49,7 @@ TOLERANCE = 1e-4
 PRIOR = 400.0
 FEW = 1_000_000
 GROUP = 1_000_000
+TRAINED = 3_000_000
 COUNTED = 1_000_000
 END = np.int64(0x5BD1E995)
 SLOTS = 20
@@ -308,7 +309,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             def expect(batches, now=now):
                 m = now.value
                 start, move, emit, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((OWN + BUCKETS, STATES)), np.zeros(STATES)
-                for cls, off in _coded_groups(batches, GROUP):
+                for cls, off in _coded_groups(batches, TRAINED):
                     s, v, e, p = m.expect_and_log(cls, off)
                     start, move, emit = start + s, move + v, emit + e
                     log[0] += p

@@ -224,6 +224,24 @@ def test_language_model_converges(spark, monkeypatch, few):
     assert gain > 0.25  # of the log10(3) = 0.48 that knowing the topic would give
 
 
+def test_language_model_beats_its_base_on_held_out_texts(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    r = lm.score_documents(table).where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base"), F.sum("n_tokens").alias("n")).first()
+    assert (r.score - r.base) / r.n > 0.1
+
+
+def test_language_model_of_odd_tables(spark):
+    """Empty table, ties, repeated rows, clashing columns, a very long text, no training texts."""
+    assert lm.score_documents(docs(spark, []).where("false")).count() == 0
+    rows = [(k, "a b") for k in range(6)] + [(3, "a b")] * 2 + [(20, "c d " * 30_000)]
+    got = lm.score_documents(docs(spark, rows).selectExpr("*", "1 as key", "2 as times", "3 as h", "4 as held_out")).collect()
+    assert len(got) == len(rows) and {x.n_tokens for x in got} == {3, 60_001}
+    assert len({(x.score, x.base_score) for x in got if x.n_tokens == 3}) == 1 and all(np.isfinite(x.score) for x in got)
+    held = next(k for k in range(50) if zlib.crc32(str(k).encode()) % 5 == 1)
+    alone = lm.score_documents(docs(spark, [(held, "x y")])).first()
+    assert (alone.train_tokens, alone.n_known, alone.held_out) == (0, 0, True) and alone.score <= alone.base_score
+
+
 def test_expected_counts_of_long_texts(spark):
     r = np.random.default_rng(9)
     m = lm.Model(r.dirichlet(np.ones(lm.STATES)), r.dirichlet(np.ones(lm.STATES), lm.STATES), r.dirichlet(np.ones(lm.OWN + lm.BUCKETS), lm.STATES).T)

@@ -67,7 +67,8 @@ def chunks(data: np.ndarray, off: np.ndarray, size: int = CHUNK) -> Iterator[tup
 class Words:
     """Words of a chunk: byte spans, 64-bit hashes, and each row's range of words."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, head: int = 0):
+        """``head``: bytes of each word that make its ``begin`` hash; 0 for none."""
         gap = _SPACE[data]
         fresh = np.ones(len(data) + 1, bool)  # a word can't run on into this byte
         fresh[1:-1] = gap[:-1]
@@ -83,6 +84,8 @@ class Words:
         np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power[:-1], out=run[1:])
         h = (run[self.end] - run[self.start]) * inverse[self.start]
         self.hash = mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        if head:
+            self.begin = mix((run[np.minimum(self.end, self.start + head)] - run[self.start]) * inverse[self.start])
 
     def counts(self) -> np.ndarray:
         return np.diff(self.off)

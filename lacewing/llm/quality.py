@@ -4,9 +4,12 @@ One shared weight for each hashed feature gives a score s; ordered thresholds
 t1 < t2 < ... give P(grade >= j) = 1 / (1 + exp(t_j - s)).  From these come the
 expected grade and the tail probability by which documents are selected.
 
-Features of the whole text, each counted once: its words (A-Z lowered), and
-buckets of its shape (shares of upper-case, digit and other signs, word length,
-share of distinct words).
+Features of the whole text, each counted once: its words (A-Z lowered), the first BEGIN
+bytes of its words without signs, so that words of one stem that are rare themselves
+share a weight, and buckets of its shape (shares of upper-case, digit and other signs,
+word length, share of distinct words).  In fitting a feature has as its value how far
+the odds of the best grade move where it stands (absolute log ratio, one count added),
+which keeps words that tell little from learning single documents by heart.
 
 Fitting takes at most about ``bound`` rated documents, chosen by a hash of the
 id; that is the only sample, every row is scored.
@@ -29,7 +32,10 @@ from .shared import ship
 
 BITS = 18
 GRADES = 3
+BEGIN = 5
 CUT = 0.5
+_SIGN = np.zeros(256, bool)
+_SIGN[:128] = [not chr(k).isalnum() for k in range(128)]
 
 
 def _shape(data: np.ndarray, off: np.ndarray, w: Words, distinct: np.ndarray) -> np.ndarray:
@@ -56,13 +62,16 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Feature numbers of all rows of a chunk and offsets; a row without words has none."""
     w = Words(data, off)
     rows, size = len(off) - 1, 1 << BITS
-    row = np.repeat(np.arange(rows), w.counts())
-    key = np.unique((row << BITS) | (w.hash >> np.uint64(64 - BITS)).astype(np.int64))
-    distinct = np.bincount(key >> BITS, minlength=rows)
+
+    def numbered(words: Words, h: np.ndarray) -> np.ndarray:
+        return np.unique((np.repeat(np.arange(rows), words.counts()) << BITS) | (h >> np.uint64(64 - BITS)).astype(np.int64))
+
+    distinct = np.bincount(numbered(w, w.hash) >> BITS, minlength=rows)
     shape = _shape(data, off, w, distinct)
     own = np.flatnonzero(w.counts())
     more = ((own[:, None] << BITS) | shape[own]).ravel()
-    key = np.unique(np.concatenate([key, more]))
+    plain = Words(np.where(_SIGN[data], np.uint8(32), data), off, BEGIN)
+    key = np.unique(np.concatenate([numbered(w, w.hash), numbered(plain, mix(plain.begin + np.uint64(BEGIN))), more]))
     return key & (size - 1), np.searchsorted(key >> BITS, np.arange(rows + 1))
 
 
@@ -73,7 +82,7 @@ class CumulativeLink:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, numbers: np.ndarray, off: np.ndarray, grades: np.ndarray, rounds: int = 120, rate: float = 0.05, decay: float = 2e-4) -> CumulativeLink:
+    def fit(cls, numbers: np.ndarray, off: np.ndarray, grades: np.ndarray, rounds: int = 120, rate: float = 0.05, decay: float = 2e-3) -> CumulativeLink:
         """Maximum likelihood with weight decay; features of fewer than 3 documents stay 0."""
         common = np.bincount(numbers, minlength=1 << BITS) >= 3
         used = np.flatnonzero(common)
@@ -87,9 +96,12 @@ class CumulativeLink:
         p = np.concatenate([np.zeros(len(used)), [first], np.zeros(levels - 1)])
         m, v = np.zeros_like(p), np.zeros_like(p)
         n = len(grades)
+        best = grades == levels
+        odds = [(np.bincount(col, weights=b[row], minlength=len(used)) + 1) / (b.sum() + 2) for b in (best, ~best)]
+        value = np.abs(np.log(odds[0] / odds[1]))
         for step in range(1, rounds + 1):
             w, t = p[: len(used)], np.cumsum(np.concatenate([p[len(used) : len(used) + 1], np.exp(p[len(used) + 1 :])]))
-            s = np.bincount(row, weights=w[col], minlength=n)
+            s = np.bincount(row, weights=(w * value)[col], minlength=n)
             above = [np.ones(n), *(1 / (1 + np.exp(np.clip(tj - s, -30, 30))) for tj in t), np.zeros(n)]
             at = np.stack(above)[grades, np.arange(n)] - np.stack(above)[grades + 1, np.arange(n)]
             at = np.maximum(at, 1e-9)
@@ -100,14 +112,14 @@ class CumulativeLink:
                 ds += part
                 dt[j - 1] = -part.sum()
             grad = np.zeros_like(p)
-            grad[: len(used)] = np.bincount(col, weights=ds[row], minlength=len(used)) / n - decay * w
+            grad[: len(used)] = value * np.bincount(col, weights=ds[row], minlength=len(used)) / n - decay * w
             down = np.cumsum(dt[::-1])[::-1] / n
             grad[len(used)] = down[0]
             grad[len(used) + 1 :] = down[1:] * np.exp(p[len(used) + 1 :])
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
             p = p + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         weights = np.zeros(1 << BITS, np.float32)
-        weights[used] = p[: len(used)]
+        weights[used] = p[: len(used)] * value
         return cls(weights, np.cumsum(np.concatenate([p[len(used) : len(used) + 1], np.exp(p[len(used) + 1 :])])))
 
     def tails(self, numbers: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -208,6 +208,27 @@ def test_quality_held_out(spark):
     assert quality.score(docs(spark, [(1, "a"), (2, None)]), None, ["doc_id"]).where("kept").count() == 1
 
 
+def test_quality_of_odd_tables(spark):
+    """Empty table, ties, repeated rows, very long texts, ratings of no document, clashing columns."""
+    rows = [(k, "good words here" if k % 2 else "bad words there") for k in range(40)] + [(1, "good words here")] * 2 + [(90, "good " * 100_000), (91, ""), (92, None)]
+    table = docs(spark, rows).selectExpr("*", "1 as grade", "2 as rated", "'x' as kept_", "3 as x")
+    ratings = spark.createDataFrame([(k, 2 * (k % 2)) for k in range(40)] + [(1000, 1), (None, 2), (3, None)], "doc_id bigint, grade int")
+    got = quality.score(table, quality.fit(table, ratings), ["doc_id"]).collect()
+    assert len(got) == len(rows)
+    assert all(r.kept == (r.doc_id % 2 == 1) for r in got if r.doc_id < 40) and {r.kept for r in got if r.doc_id in (91, 92)} == {False}
+    assert len({r.p_good for r in got if r.doc_id < 40 and r.doc_id % 2}) == 1
+    assert all(0 <= r.p_good <= r.p_poor_or_better <= 1 for r in got)
+    assert quality.score(table.where("false"), None, ["doc_id"]).count() == 0
+    assert quality.fit(table.where("false"), ratings) is None
+
+
+def test_tail_probabilities_by_brute_force():
+    m = quality.CumulativeLink(np.linspace(-1, 1, 1 << quality.BITS), np.array([-0.5, 0.7]))
+    numbers, off = np.array([5, 100_000, 200_000, 7]), np.array([0, 3, 3, 4])
+    want = [[1 / (1 + math.exp(t - sum(m.weights[numbers[i:j]]))) if j > i else 0 for t in m.thresholds] for i, j in ((0, 3), (3, 3), (3, 4))]
+    assert np.allclose(m.tails(numbers, off), want)
+
+
 @pytest.mark.parametrize("few", [10_000, 1_000_000])
 def test_language_model_converges(spark, monkeypatch, few):
     monkeypatch.setattr(lm, "FEW", few)

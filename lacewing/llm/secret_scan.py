@@ -2,15 +2,19 @@
 
 DataFrame functions and the JVM's random forest; no Python runs on the executors.
 
-Candidates are runs of SHORTEST or more signs of [A-Za-z0-9_+/=-].  The forest sees
-their length, character transitions, share of letters covered by a dictionary
-(words of the corpus itself), the path they come from, and the words around them.
-It is trained from labelled findings, at most ``bound`` of them, chosen by a hash;
-every candidate of the corpus is scored.
-
-Labels are given by the caller (``labels``: id, start, label), else by the rules in
-``rule_label``, to which worked examples of both classes (``examples``) are added,
-so both classes are always there.
+Candidates are, from the left and without overlap: the password in the user part of a
+URL (4 signs or more), a value after ``=`` or ``:``, quoted or not, a quoted value
+without blanks (8 signs or more each), a web token of parts joined by dots, and any run of
+20 or more signs of [A-Za-z0-9_+/-].  The forest sees their length, character
+transitions, share of letters covered by a dictionary (words of two distinct texts of
+the corpus or more), the path they come from and where in it they stand, and the words
+around them.  It is trained from labelled findings; every candidate of the corpus is
+scored.
+
+Labelled findings are given by the caller (``labels``: id, start, label), at most
+``bound`` of them, chosen by a hash.  Worked examples (``examples``) are always added:
+values of known kinds, drawn at random for each kind, in the surroundings in which such
+kinds stand.  Their labels come from the kind that was drawn, not from the features.
 
 Null and empty texts have no candidates.  Repeated rows and ids each give their own
 findings; equal candidates at different places are different findings.  A null path
@@ -19,6 +23,8 @@ is a path without any sign.  Extra columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -28,28 +34,42 @@ from pyspark.sql import functions as F
 from .pii import BROADCAST_ROWS, located
 from .shared import Workspace, ship
 
-SHORTEST = 20
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+"
+SHORTEST = 8
+LEAD = r"://[^\s/:@]{1,64}:|[=:]\s{0,2}[\"'`]?|[\"'`]"
+CANDIDATE = "|".join((
+    r"://[^\s/:@]{1,64}:[^\s/@:]{4,}+(?=@)",
+    r"[=:](?!//)\s{0,2}[\"'`]?[^\s\"'`,;<>()\[\]{}|=:][^\s\"'`,;<>()\[\]{}|]{7,}+",
+    r"[\"'`][^\s\"'`]{8,}+(?=[\"'`])",
+    r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{6,}+(?:\.[A-Za-z0-9_-]{6,}+){1,2}",
+    r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+={0,2}",
+))
 NEAR = 48
 # Words that stand near secrets, and near values that only look so.
 TELLING = "token|secret|password|passwd|pwd|api|apikey|key|auth|bearer|credential|private|access"
 HARMLESS = "example|sample|dummy|placeholder|test|sha|sha1|sha256|md5|checksum|digest|commit|revision|uuid|hash|integrity"
 # Beginnings of keys by which their issuers can be told.
-ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp_|gho_|ghs_|github_pat_|glpat-|npm_|sk_live_|sk-|xox[abpr]-|AIza|eyJ)[A-Za-z0-9_-]{16,}"
-FEATURES = ["issued", "named", "length", "upper", "lower", "digit", "other", "changes", "letter_digit", "distinct", "hex", "repeats", "covered", "path_code", "path_test", "assigned", "quoted", "telling", "harmless"]
+ISSUED = r"^(AKIA|ASIA)[A-Z0-9]{16}$|^(ghp_|gho_|ghs_|github_pat_|glpat-|npm_|sk_live_|sk-|xox[abpr]-|AIza|eyJ)[A-Za-z0-9_.-]{16,}"
+FEATURES = ["issued", "in_url", "length", "upper", "lower", "digit", "other", "changes", "letter_digit", "distinct", "hex", "repeats", "longest_word", "covered", "path_code", "path_test", "path_depth", "position", "assigned", "quoted", "telling", "harmless"]
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
-    """id, start, stop, value, before, after, path of every candidate."""
+    """id, start, stop, value, before, after, path, position of every candidate."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), path.alias("path")).withColumn("found", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).where(F.size("found") > 0)
     rows = rows.withColumn("span", F.explode(located(F.col("text"), F.col("found"), CANDIDATE, 0, "secret")))
-    start, stop = F.col("span.start"), F.col("span.stop")
-    low = F.greatest(F.lit(0), start - NEAR)
-    before = F.lower(F.substring("text", (low + 1).cast("int"), (start - low).cast("int")))
-    after = F.lower(F.substring(F.col("text"), (stop + 1).cast("int"), F.lit(NEAR)))
-    return rows.select("id", start.alias("start"), stop.alias("stop"), F.col("span.value").alias("value"), before.alias("before"), after.alias("after"), "path")
+    whole = F.regexp_replace("span.value", rf"^(?:{LEAD})", "")
+    rows = rows.withColumn("start", F.col("span.stop") - F.length(whole)).withColumn("value", F.regexp_replace(whole, r"[.!?:]++$", ""))
+    rows = rows.withColumn("stop", F.col("start") + F.length("value"))
+    low = F.greatest(F.lit(0), F.col("start") - NEAR)
+    before = F.lower(F.substring(F.col("text"), (low + 1).cast("int"), (F.col("start") - low).cast("int")))
+    after = F.lower(F.substring(F.col("text"), (F.col("stop") + 1).cast("int"), F.lit(NEAR)))
+    rows = rows.select("id", "start", "stop", "value", before.alias("before"), after.alias("after"), "path", (F.col("start") / F.length("text")).alias("position"))
+    return rows.where(F.length("value") >= F.when(_in_url(), 4).otherwise(SHORTEST))
+
+
+def _in_url() -> Column:
+    return F.col("before").rlike(r"://[^\s/:@]{1,64}:$") & F.col("after").startswith("@")
 
 
 def _share(pattern: str) -> Column:
@@ -64,15 +84,16 @@ def _pieces() -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,}"), F.lit(0)))
 
 
-def dictionary(found: DataFrame, docs: DataFrame, text_col: str, work: Workspace, least: int = 3) -> DataFrame:
-    """Letter runs of the candidates that are words of at least ``least`` texts."""
+def dictionary(found: DataFrame, docs: DataFrame, text_col: str, work: Workspace) -> DataFrame:
+    """Letter runs of the candidates that are words of two distinct texts or more."""
     pieces = work.cut(found.select(F.explode(_pieces()).alias("word")).groupBy("word").agg(F.lit(1).alias("one")).select("word"), "pieces")
-    words = docs.where(F.col(text_col).isNotNull()).select(F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}0-9]+"))).alias("word")).where("length(word) >= 3")
+    words = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("of"), F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}0-9]+"))).alias("word")).where("length(word) >= 3")
+    several = [F.min("of").alias("low"), F.max("of").alias("high")]
     if pieces.count() <= BROADCAST_ROWS:
-        counts = words.join(F.broadcast(pieces), "word").groupBy("word").agg(F.count("*").alias("texts"))
+        counts = words.join(F.broadcast(pieces), "word").groupBy("word").agg(*several)
     else:
-        counts = words.groupBy("word").agg(F.count("*").alias("texts")).join(pieces, "word", "left_semi")
-    return work.cut(counts.where(F.col("texts") >= least).select("word"), "dictionary")
+        counts = words.groupBy("word").agg(*several).join(pieces, "word", "left_semi")
+    return work.cut(counts.where("low <> high").select("word"), "dictionary")
 
 
 def described(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -86,37 +107,66 @@ def described(found: DataFrame, known: DataFrame) -> DataFrame:
         _times(r"(?<=[a-z])[^a-z]|(?<=[A-Z])[^A-Z]|(?<=[0-9])[^0-9]").alias("changes"), _times(r"(?<=[A-Za-z])[0-9]|(?<=[0-9])[A-Za-z]").alias("letter_digit"),
         (F.size(F.array_distinct(F.split("value", ""))) / F.length("value")).alias("distinct"), number(F.col("value").rlike("^[0-9a-fA-F]+$")).alias("hex"), _times(r"(.)(?=\1)").alias("repeats"),
         number(F.col("path").rlike(r"\.(py|js|ts|go|java|rb|sh|env|cfg|conf|ini|yml|yaml|json|toml|properties)$")).alias("path_code"), number(F.col("path").rlike("(?i)(test|example|fixture|mock|vendor|lock)")).alias("path_test"),
-        number(F.col("value").rlike(ISSUED)).alias("issued"), number(F.lower("value").rlike(rf"^[a-z0-9_-]*({TELLING})[a-z0-9_-]*=+[^=]")).alias("named"),
+        number(F.size(F.split("path", "/")) - 1).alias("path_depth"), number(F.col("value").rlike(ISSUED)).alias("issued"), number(_in_url()).alias("in_url"),
+        (F.coalesce(F.array_max(F.transform(F.regexp_extract_all("value", F.lit("[A-Za-z]+"), F.lit(0)), F.length)), F.lit(0)) / F.length("value")).alias("longest_word"),
         number(F.col("before").rlike(r"[=:]\s*[\"'`]?$")).alias("assigned"), number(F.col("before").rlike("[\"'`]$")).alias("quoted"),
         number(near.rlike(rf"(^|[^a-z])({TELLING})([^a-z]|$)")).alias("telling"), number(near.rlike(rf"(^|[^a-z])({HARMLESS})([^a-z.]|$)")).alias("harmless"),
     ).withColumn("covered", F.least(F.lit(1.0), F.coalesce("covered", F.lit(0.0))))
 
 
-def rule_label() -> Column:
-    """1: an issuer's key, or a random-looking value assigned to a telling name; 0: words, counters, named digests; null: undecided."""
-    mixed = (F.col("digit") > 0.1) & (F.col("letter_digit") > 0.1) & (F.col("distinct") > 0.2) & (F.col("harmless") == 0)
-    random = mixed & (F.col("covered") < 0.5)
-    issued = (F.col("issued") > 0) & (F.col("repeats") < 0.3) & (F.col("harmless") == 0)
-    return F.when(issued | (mixed & (F.col("named") > 0)), 1.0).when(random & (F.col("telling") > 0) & (F.col("assigned") > 0) & (F.col("harmless") == 0), 1.0).when((F.col("digit") < 0.03) | (F.col("covered") > 0.7) | (F.col("harmless") > 0) | (F.col("repeats") > 0.3), 0.0)
+# Names and phrases for the worked examples.
+SECRET_NAMES = ["password", "passwd", "db_password", "pwd", "secret", "client_secret", "token", "auth_token", "access_token", "api_key", "apikey", "API key", "private key", "access key", "credential", "Bearer token"]
+OTHER_NAMES = ["note", "title", "name", "id", "color", "style", "href", "class", "version", "subject", "see", "ratio", "time", "file", "user", "section", "size", "format", "source", "result"]
+DIGEST_NAMES = ["sha1", "sha256 digest", "md5", "commit", "checksum", "revision", "uuid", "hash", "integrity", "example key", "test token", "sample password", "dummy secret", "placeholder key"]
+PHRASES = ["and then ", "of the ", "he said ", "in the section on ", "as was found in ", "see also ", "to be read with ", ""]
+WORDS = ["required", "something", "described", "information", "following", "translation", "government", "understanding", "university", "particular", "development", "yesterday"]
+PLACEHOLDERS = ["changeme", "changeme123", "your_api_key_here", "your-token-here", "xxxxxxxxxxxx", "XXXXXXXXXXXXXXXXXXXX", "undefined", "password", "None_None", "1234567890", "${API_KEY}", "REPLACE_ME_NOW", "********", "abcdefghijklmnop"]
+SEPARATORS = [" = \"", "=", ": ", ": \"", " = '", ":", "=\"", " := "]
 
 
-def examples(spark: SparkSession, n: int = 400) -> DataFrame:
-    """Worked examples: issuers' keys, digests assigned to telling names; placeholders, named checksums, words, counters."""
+def examples(spark: SparkSession, n: int = 300) -> DataFrame:
+    """Worked examples of every kind, n each: candidates with their label; the same in every run."""
     i = F.col("id")
-    h, g = F.sha1(i.cast("string")), F.base64(F.unhex(F.sha2(i.cast("string"), 256)))
+    draw = lambda salt: F.sha2(F.concat_ws("-", F.lit(salt), i.cast("string")), 256)
+    at = lambda salt, k: F.pmod(F.xxhash64(F.lit(salt), i), F.lit(k)).cast("int")
+    pick = lambda salt, of: F.element_at(F.array(*map(F.lit, of)), at(salt, len(of)) + 1)
+    hexes = draw("h")
+    mixed = F.regexp_replace(F.base64(F.unhex(F.concat(draw("m"), draw("n")))), "[^A-Za-z0-9]", "q")
+    signs = F.concat_ws("", *(F.concat(F.substring(mixed, 3 * k + 1, 3), pick(f"s{k}", ["!", "#", "$", "%", "*", "-", "_", ".", "", ""])) for k in range(5)))
+    cut = lambda value, low, high: F.substring(value, F.lit(1), at("l", high - low + 1) + low)
+    number = F.conv(F.substring(draw("d"), 1, 12), 16, 10)
+    letters = F.translate(F.substring(draw("w"), 1, 20), "0123456789", "ghiklmnors")
+    word = pick("w1", WORDS)
+    password = F.concat(F.substring(pick("w2", WORDS), F.lit(1), at("pl", 5) + 3), F.substring(mixed, F.lit(1), at("pm", 5) + 3), F.substring(number, 1, 2), pick("ps", ["!", "#", "", "$", "_", "x"]))
+    dashed = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
+    jwt = F.concat(F.lit("eyJ"), F.substring(mixed, 1, 20), F.lit("."), F.substring(mixed, 21, 30), F.lit("."), F.substring(mixed, 5, 22))
+    issued = F.concat(pick("is", ["ghp_", "gho_", "glpat-", "npm_", "sk_live_", "xoxb-"]), F.substring(mixed, 1, 30))
+    aws = F.concat(pick("aw", ["AKIA", "ASIA"]), F.substring(F.upper(F.translate(hexes, "01", "qz")), 1, 16))
+    named = lambda names: F.concat(pick("ph", PHRASES), pick("nm", names), pick("sp", SEPARATORS))
+    prose, url = pick("ph", PHRASES), F.concat(F.lit("https://"), pick("us", ["admin", "root", "app", "user1"]), F.lit(":"))
+    secret, digest, other = named(SECRET_NAMES), named(DIGEST_NAMES), named(OTHER_NAMES)
+    end = pick("en", ["\" ", "", "'", "\n", ". "])
     kinds = [
-        (F.concat(F.lit("AKIA"), F.substring(F.translate(F.upper(h), "01", "QZ"), 1, 16)), "of the ", 1.0), (F.concat(F.lit("password="), F.substring(h, 1, 18)), "and then ", 1.0),
-        (F.concat(F.lit("password="), F.translate(F.substring(h, 1, 14), "0123456789", "changemeno")), "and then ", 0.0), (F.concat(F.lit("AKIA"), F.repeat(F.lit("X"), 16)), "the example ", 0.0),
-        (h, "token = \"", 1.0), (F.regexp_replace(g, "[^A-Za-z0-9]", "x"), "api key: '", 1.0), (F.substring(h, 1, 32), "password=", 1.0),
-        (h, "sha1 checksum ", 0.0), (F.concat(F.lit("commit"), h), "example of ", 0.0), (F.translate(h, "0123456789", "ghijklmnop"), "and then ", 0.0),
-        (F.repeat(F.lit("0123456789"), 3), "no ", 0.0), (F.concat_ws("-", F.lit("some-long-hyphened"), F.translate(F.substring(h, 1, 12), "0123456789", "aeioulnrst")), "of the ", 0.0),
+        (hexes, secret, end, 1), (cut(hexes, 16, 40), secret, end, 1), (cut(mixed, 10, 60), secret, end, 1), (cut(mixed, 8, 20), secret, end, 1), (cut(signs, 9, 18), secret, end, 1),
+        (password, secret, end, 1), (dashed, secret, end, 1), (F.concat_ws(".", F.substring(mixed, 1, 5), F.substring(mixed, 9, 8), F.substring(hexes, 1, 8)), secret, end, 1), (F.concat(cut(mixed, 30, 50), F.lit("==")), secret, end, 1),
+        (jwt, secret, end, 1), (jwt, prose, F.lit(" "), 1), (issued, secret, end, 1), (issued, prose, F.lit(" "), 1), (aws, secret, end, 1), (aws, prose, F.lit(" "), 1),
+        (password, url, F.lit("@host"), 1), (cut(mixed, 6, 24), url, F.lit("@db.local"), 1),
+        (hexes, digest, end, 0), (cut(hexes, 32, 40), digest, end, 0), (dashed, digest, end, 0), (cut(mixed, 20, 60), digest, end, 0), (F.substring(hexes, 1, 40), F.lit("commit "), F.lit(" "), 0),
+        (dashed, other, end, 0), (pick("pc", PLACEHOLDERS), secret, end, 0), (pick("pc", PLACEHOLDERS), digest, end, 0), (F.concat(F.lit("AKIA"), F.repeat(F.lit("X"), 16)), prose, end, 0), (F.concat(pick("is", ["ghp_", "npm_", "sk-"]), F.repeat(F.lit("x"), 30)), prose, end, 0),
+        (F.repeat(pick("is", ["eyJ", "ghp_", "key", "Ab1"]), 60), prose, end, 0), (F.repeat(F.substring(mixed, 1, 3), 20), secret, end, 0),
+        (word, other, end, 0), (word, secret, end, 0), (F.concat(word, pick("w3", WORDS)), prose, end, 0), (F.concat_ws("-", word, pick("w3", WORDS), pick("w4", WORDS)), prose, F.lit(" "), 0), (F.concat_ws("_", word, pick("w3", WORDS)), secret, end, 0),
+        (F.concat_ws("/", word, pick("w3", WORDS), pick("w4", WORDS)), other, end, 0), (letters, prose, F.lit(" "), 0), (letters, other, end, 0), (F.concat(F.initcap(word), F.initcap(pick("w3", WORDS)), pick("w4", WORDS)), other, end, 0),
+        (number, other, end, 0), (F.substring(F.concat(number, number), 1, 12), prose, end, 0), (F.repeat(F.substring(number, 1, 1), 24), prose, F.lit(" "), 0), (F.concat_ws(":", F.lit("12"), F.substring(number, 1, 2), F.substring(number, 3, 5)), other, end, 0),
+        (F.concat_ws(".", F.substring(number, 1, 2), F.substring(number, 3, 2), F.substring(number, 5, 4)), other, end, 0), (F.concat_ws("-", F.lit("2021"), F.substring(number, 1, 2), F.substring(number, 3, 4)), other, end, 0), (F.concat(word, F.lit("@"), letters, F.lit(".org")), other, end, 0), (F.concat(F.lit("www."), letters, F.lit(".com/"), word), other, end, 0),
     ]
-    base = spark.range(n)
-    rows = None
-    for value, before, label in kinds:
-        one = base.select(i, F.lit(0).cast("bigint").alias("start"), F.length(value).cast("bigint").alias("stop"), value.alias("value"), F.lit(before).alias("before"), F.lit("").alias("after"), F.lit("").alias("path"), F.lit(label).alias("label"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    base = spark.range(0, n, 1, 1)
+    path = pick("pa", ["", "", "src3", "web/notes.txt", "app/settings.py", "conf/prod.env", "docs/example.md", "test/data.json"])
+    place = F.pmod(F.xxhash64(F.lit("place"), i), F.lit(1000)) / 1000.0
+
+    def one(value: Column, before: Column, after: Column, label: int) -> DataFrame:
+        return base.select(i, F.lit(0).cast("bigint").alias("start"), F.length(value).cast("bigint").alias("stop"), value.alias("value"), F.lower(F.right(before, F.lit(NEAR))).alias("before"), after.alias("after"), path.alias("path"), place.alias("position"), F.lit(float(label)).alias("label"))
+
+    return reduce(DataFrame.unionByName, (one(*kind) for kind in kinds))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, labels: DataFrame | None = None, bound: int = 20_000, cut: float = 0.5) -> DataFrame:
@@ -125,22 +175,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_c
     ship(spark)
     work = Workspace(spark, "secrets")
     found = work.cut(candidates(docs, id_col, text_col, path_col).withColumn("key", F.monotonically_increasing_id()), "candidates")
-    known = dictionary(found, docs, text_col, work)
+    worked = work.cut(examples(spark).withColumn("key", F.monotonically_increasing_id()), "examples")
+    known = dictionary(found.select("value").unionByName(worked.select("value")), docs, text_col, work)
     rows = work.cut(described(found, known), "features")
-    if labels is None:
-        labelled = rows.withColumn("label", rule_label())
-    else:
-        labelled = rows.join(labels.select(F.col(id_col).alias("id"), "start", F.col("label").cast("double").alias("label")), ["id", "start"])
-    labelled = labelled.where("label is not null")
-    per_class = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    space = 1 << 30
-    limit = F.lit(space)
-    for label, n in per_class.items():
-        limit = F.when(F.col("label") == label, F.lit(min(space, int(space * bound / 2 / n) + 1))).otherwise(limit)
-    sample = labelled.where(F.pmod(F.xxhash64("value", "start", "key"), F.lit(space)) < limit).select("label", *FEATURES)
-    worked = described(examples(spark).withColumn("key", F.monotonically_increasing_id()), known).select("label", *FEATURES)
-    train = work.cut(sample.unionByName(worked), "train")
+    train = described(worked, known).select("label", *FEATURES)
+    if labels is not None:
+        labelled = rows.join(labels.select(F.col(id_col).alias("id"), "start", F.col("label").cast("double").alias("label")), ["id", "start"]).where("label is not null")
+        n, space = labelled.count(), 1 << 30
+        taken = labelled.where(F.pmod(F.xxhash64("value", "start", "key"), F.lit(space)) < min(space, int(space * bound / max(n, 1)) + 1))
+        train = train.unionByName(taken.select("label", *FEATURES))
+    train = work.cut(train, "train")
     vector = VectorAssembler(inputCols=FEATURES, outputCol="_x", handleInvalid="keep")
-    forest = RandomForestClassifier(featuresCol="_x", labelCol="label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_y", numTrees=20, maxDepth=6, seed=11).fit(vector.transform(train.coalesce(4)))
+    forest = RandomForestClassifier(featuresCol="_x", labelCol="label", probabilityCol="_p", rawPredictionCol="_raw", predictionCol="_y", numTrees=30, maxDepth=9, seed=11).fit(vector.transform(train.coalesce(4)))
     scored = forest.transform(vector.transform(rows)).withColumn("score", F.element_at(vector_to_array("_p"), 2))
     return scored.where(F.col("score") >= cut).select(F.col("id").alias(id_col), "start", "stop", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"))

@@ -42,6 +42,35 @@ def test_top_k(spark, monkeypatch, blocks):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_bound_is_the_largest_product():
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        q, caps, longest = np.abs(r.normal(size=5)) + 0.01, r.uniform(0, 2, 5), r.uniform(0.1, 4)
+        got = topk.bound(q, caps, longest)
+        v = np.minimum(np.abs(r.normal(size=(4000, 5))), caps)
+        v *= np.minimum(1, longest / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9))
+        assert (v @ q).max() <= got + 1e-9
+        low, high = 0.0, 1e6  # the multiple of q at which the capped vector has the length allowed
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.linalg.norm(np.minimum(mid * q, caps)) <= longest else (low, mid)
+        assert np.isclose(got, np.minimum(low * q, caps) @ q, rtol=1e-6)
+
+
+def test_walks_of_clustered_vectors_stop_early():
+    r = np.random.default_rng(3)
+    centre = r.normal(size=(200, 32))
+    v = np.repeat(centre, 20, 0) + r.normal(size=(4000, 32)) * 0.05
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    block = topk.Lists(np.arange(4000), v)
+    for q in range(0, 4000, 100):
+        ids, scores = block.search(q, v[q], 5, None)
+        want = v @ v[q]
+        want[q] = -(10**9)
+        assert sorted(scores.tolist()) == sorted(want)[-5:]
+    assert block.scored < 0.2 * 40 * 4000
+
+
 def test_large_components_are_exact(spark):
     rows = [(k, [float((k * 7919) % 1000003 + 0.5), float(k)]) for k in range(120)]
     got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0).collect())

@@ -54,12 +54,12 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def chunks(data: np.ndarray, off: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole rows of about ``size`` bytes: first row, end row, bytes, offsets."""
+def chunks(data: np.ndarray, off: np.ndarray, size: int = CHUNK, most: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole rows of about ``size`` bytes and at most ``most`` rows: first row, end row, bytes, offsets."""
     first, rows = 0, len(off) - 1
     while first < rows:
         end = int(np.searchsorted(off, off[first] + size, "right")) - 1
-        end = min(rows, max(first + 1, end))
+        end = min(rows, max(first + 1, end), first + most)
         yield first, end, data[off[first] : off[end]], off[first : end + 1] - off[first]
         first = end
 

@@ -7,7 +7,8 @@ every two languages of that family votes for the language.  All machines are
 fitted by gradient descent on the squared hinge loss.
 
 Fitting takes at most ``per_language`` labelled rows of each language, chosen by a
-hash of the id; that is the only sample, every row is predicted.
+hash of the id; that is the only sample, every row is predicted.  Texts are taken in
+chunks of at most ROWS rows, so a chunk's features have a fixed size at most.
 
 Null text, or text without a letter: ``und`` with score 0.  Without any labelled
 row every row is ``und``.  Repeated rows and ids each get their own result; only
@@ -37,6 +38,7 @@ FAMILIES = {
     "Indo-Aryan": "bn gu hi mr ne pa ur",
 }
 BITS = 12
+ROWS = 1024
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[:128] = 32
 _CLASS[97:123] = np.arange(97, 123)
@@ -139,7 +141,7 @@ def fit(rows: DataFrame, id_col: str, text_col: str, lang_col: str, per_language
     def run(batches):
         for b in batches:
             data, off = strings(b.column(0))
-            for first, end, piece, own in chunks(data, off, 1 << 20):
+            for first, end, piece, own in chunks(data, off, 1 << 20, ROWS):
                 packed = [x.tobytes() for x in np.round(features(piece, own) * 65535).astype("<u2")]
                 yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), b.column(1).slice(first, end - first)], ["x", "lang"])
 
@@ -164,7 +166,7 @@ def predict(docs: DataFrame, model: Hierarchy | None, keep: list, text_col: str
         for b in batches:
             data, off = strings(b.column(width))
             langs, scores = [], []
-            for _, _, piece, own in chunks(data, off, 1 << 20):
+            for _, _, piece, own in chunks(data, off, 1 << 20, ROWS):
                 rows = len(own) - 1
                 lang, score = m.predict(features(piece, own)) if m else (["und"] * rows, np.zeros(rows))
                 plain = (_CLASS[piece] != 32) & (piece < 128)

@@ -1,13 +1,15 @@
 """Places that the driver and every executor can reach, and tables written there.
 
 Intermediate tables go below ``spark.checkpoint.dir``.  Where that setting is
-unset (tests, a laptop) one temporary folder is made for the application.
+unset and the master is local (tests, a laptop) one temporary folder is made for the
+application; on a cluster that would be a folder of each machine's own, so it is an error.
 """
 
 from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -33,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lacewing-")
     return _OWN[app]
 

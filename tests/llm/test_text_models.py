@@ -192,6 +192,53 @@ def test_language(spark):
     assert (none.lang_pred, none.score) == ("und", 0.0)
 
 
+def test_language_of_odd_tables(spark):
+    """Empty table, very long texts, repeated rows, clashing columns, one language only, many short rows."""
+    rows = [(k, "the words of this text" if k % 2 else "die worte von diesem satz") for k in range(3000)] + [(1, "the words of this text")] * 2 + [(9000, "the words " * 100_000), (9001, ""), (9002, None)]
+    table = docs(spark, rows).selectExpr("*", "if(doc_id % 2 = 1, 'en', 'de') as lang", "1 as held_out", "'x' as lang_pred", "2 as x").drop("score")
+    got = langid.identify(table.selectExpr("*", "3 as score")).collect()
+    assert len(got) == len(rows) and all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in got if r.doc_id < 3000)
+    assert {r.doc_id: r.lang_pred for r in got if r.doc_id >= 9000} == {9000: "en", 9001: "und", 9002: "und"}
+    assert len({r.score for r in got if r.doc_id == 1}) == 1
+    assert langid.identify(table.where("false")).count() == 0
+    assert {r.lang_pred for r in langid.identify(table.where("lang = 'en' and text <> ''")).collect()} == {"en"}
+
+
+def test_features_by_brute_force():
+    import pyarrow as pa
+
+    texts = ["Ab, c!", "", "xyz" * 40, "a", "\u00e9\u00e8 b"]
+    data, off = langid.strings(pa.array(texts))
+    got = langid.features(data, off)
+    for k, t in enumerate(texts):
+        b = bytes(langid._CLASS[np.frombuffer(t.encode(), np.uint8)])
+        want = Counter(int(np.uint32(((b[i] << 16) | (b[i + 1] << 8) | b[i + 2]) * 2654435761 % 2**32) >> np.uint32(32 - langid.BITS)) for i in range(len(b) - 2) if b[i : i + 2] != b"  ")
+        x = np.zeros(1 << langid.BITS)
+        x[list(want)] = np.sqrt(list(want.values()))
+        assert np.allclose(got[k], x / max(np.linalg.norm(x), 1e-9), atol=1e-6)
+
+
+def test_votes_by_brute_force():
+    """Every pair of machines votes; the family is settled before the language."""
+    r = np.random.default_rng(4)
+    langs = ["en", "de", "fr", "es", "it"]
+    x = np.abs(np.repeat(np.eye(5), 30, 0) @ r.random((5, 40)) + r.random((150, 40)) * 0.2).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    m = langid.Hierarchy(x, [v for v in langs for _ in range(30)])
+    got, score = m.predict(x)
+    margin = x @ m.w[:-1] + m.w[-1]
+
+    def best(row, names):
+        votes = {n: (sum((row[k] >= 0) == (a == n) for k, (a, b) in enumerate(m.pairs) if n in (a, b) and {a, b} <= set(names))) for n in names}
+        top = max(votes.values())
+        return [n for n in names if votes[n] == top]
+
+    for k in range(len(x)):
+        family = best(margin[k], m.families)
+        assert langid.family_of(got[k]) in family and got[k] in best(margin[k], [v for v in m.langs if langid.family_of(v) == langid.family_of(got[k])])
+    assert np.mean([g == v for g, v in zip(got, [v for v in langs for _ in range(30)], strict=True)]) > 0.95 and score.min() >= 0
+
+
 def test_quality_held_out(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     ratings = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", quality.grade().alias("grade"))

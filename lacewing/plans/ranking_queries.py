@@ -33,19 +33,19 @@ def pairs_of(df, a="a", b="b"):
 # ---- windows
 
 
-@query("win_rank_annotate", f"with {VECTORS}, s as (select q.vec_id as q, c.vec_id as id, {COS} as s from v q join v c on q.vec_id <> c.vec_id where q.vec_id < 10), r as (select q, id, s, row_number() over (partition by q order by s desc, id) as n from s) select q, id, cast(n as integer) as rank from r where n <= 5")
+@query("win_rank_annotate", f"with {VECTORS}, s as (select q.vec_id as q, c.vec_id as id, {COS} as s from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0), r as (select q, id, s, row_number() over (partition by q order by s desc, id) as n from s) select q, id, cast(n as integer) as rank from r where n <= 5")
 def win_rank_annotate(t):
     d = vectors(t)
-    q = d.where("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    q = d.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
     hits = VE.top_k(q, d.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 6).where("q <> id")
     order = W.partitionBy("q").orderBy(F.desc(F.round(F.col("score") * 1e6)), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("q", "id", "rank")
 
 
-@query("win_merge_dedupe", f"with {VECTORS}, s as (select q.vec_id as q, c.vec_id as id, {COS} as s from v q join v c on q.vec_id <> c.vec_id where q.vec_id < 20), r as (select *, row_number() over (partition by q order by s desc, id) as n from s) select id, cast(max(s) as bigint) as score, string_agg(cast(q as varchar), '|' order by q) as queries from r where n <= 5 group by id")
+@query("win_merge_dedupe", f"with {VECTORS}, s as (select q.vec_id as q, c.vec_id as id, {COS} as s from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0), r as (select *, row_number() over (partition by q order by s desc, id) as n from s) select id, cast(max(s) as bigint) as score, string_agg(cast(q as varchar), '|' order by q) as queries from r where n <= 5 group by id")
 def win_merge_dedupe(t):
     d = vectors(t)
-    q = d.where("vec_id < 20").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    q = d.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
     hits = VE.top_k(q, d.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 6).where("q <> id")
     hits = hits.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc(F.round(F.col("score") * 1e6)), "id"))).where("n <= 5")
     return hits.groupBy("id").agg(micro(F.max("score"), "score"), join_sorted(F.collect_list("q"), "queries"))
@@ -141,9 +141,9 @@ def win_budget_admit(t):
 # ---- sorts, limits, sets
 
 
-@query("ord_confidence", f"with {TRIPLES} select l_orderkey, l_linenumber, head, c from triples where article = 3 order by c desc, head, relation, tail, l_orderkey, l_linenumber limit 100")
+@query("ord_confidence", f"with {TRIPLES} select l_orderkey, l_linenumber, head, c from triples order by c desc, head, relation, tail, l_orderkey, l_linenumber")
 def ord_confidence(t):
-    return triples(t).where("article = 3").orderBy(F.desc("c"), "head", "relation", "tail", "l_orderkey", "l_linenumber").limit(100).select("l_orderkey", "l_linenumber", "head", "c")
+    return triples(t).orderBy(F.desc("c"), "head", "relation", "tail", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "head", "c")
 
 
 @query("ord_sorted_sets", "select l_suppkey, string_agg(cast(l_partkey as varchar), '|' order by l_partkey) as parts from (select distinct l_suppkey, l_partkey from lineitem) group by 1")
@@ -243,9 +243,12 @@ def vec_normalize(t):
     return d.select("vec_id", micro(F.element_at("u", 1), "first"), micro(F.element_at("u", -1), "last"))
 
 
-@query("vec_cosine", f"with {VECTORS} select q.vec_id as a, c.vec_id as b, cast({COS} as bigint) as score from v q join v c on q.label = c.label and q.vec_id < c.vec_id where q.vec_id < 100")
+@query("vec_cosine", f"with {VECTORS} select q.vec_id as a, c.vec_id as b, cast({COS} as bigint) as score from v q join v c on q.label = c.label and q.vec_id <> c.vec_id where q.vec_id % 50 = 0")
 def vec_cosine(t):
-    return pairs_of(vectors(t)).where("a < 100").select("a", "b", micro(VE.cosine(F.col("x"), F.col("y")), "score"))
+    d = vectors(t)
+    q = d.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"))
+    pairs = q.join(d.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y")), "label").where("a <> b")
+    return pairs.select("a", "b", micro(VE.cosine(F.col("x"), F.col("y")), "score"))
 
 
 @query("vec_topk", f"with {VECTORS}, s as (select q.vec_id as q, c.vec_id as id, {COS} as s from v q cross join v c where q.vec_id % 25 = 0), r as (select *, row_number() over (partition by q order by s desc, id) as n from s) select q, id, cast(s as bigint) as score from r where n <= 5")
@@ -306,10 +309,10 @@ def agg_intra_cluster(t):
     return s.groupBy("label").agg(F.min("s").alias("least"))
 
 
-@query("agg_min_margin", f"with {VECTORS}, s as (select q.vec_id as q, c.vec_id as id, {COS} as s from v q join v c on q.vec_id <> c.vec_id where q.vec_id < 50), r as (select q, s, row_number() over (partition by q order by s desc, id) as n from s), m as (select q, max(case when n = 1 then s end) - max(case when n = 2 then s end) as margin from r group by q) select cast(min(margin) as bigint) as margin from m")
+@query("agg_min_margin", f"with {VECTORS}, s as (select q.vec_id as q, c.vec_id as id, {COS} as s from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0), r as (select q, s, row_number() over (partition by q order by s desc, id) as n from s), m as (select q, max(case when n = 1 then s end) - max(case when n = 2 then s end) as margin from r group by q) select cast(min(margin) as bigint) as margin from m")
 def agg_min_margin(t):
     d = vectors(t)
-    q = d.where("vec_id < 50").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
+    q = d.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
     hits = VE.top_k(q, d.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 3).where("q <> id").select("q", F.round(F.col("score") * 1e6).cast("bigint").alias("s"), "id")
     hits = hits.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "id")))
     m = hits.groupBy("q").agg((F.max(F.when(F.col("n") == 1, F.col("s"))) - F.max(F.when(F.col("n") == 2, F.col("s")))).alias("margin"))
@@ -324,9 +327,10 @@ def agg_pooled_vec(t):
 # ---- clustering
 
 
-@query("clu_alias_unionfind", "with recursive e as (select distinct o_custkey as c, l_partkey + 10000000 as p from orders join lineitem on o_orderkey = l_orderkey where o_orderkey < 60), w as (select c as a, p as b from e union all select p, c from e), r(node, root) as (select distinct a, a from w union select r.node, w.b from r join w on r.root = w.a) select node, min(root) as root from r group by node")
+@query("clu_alias_unionfind")
 def clu_alias_unionfind(t):
-    e = t.orders.where("o_orderkey < 60").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), (F.col("l_partkey") + 10_000_000).alias("b"))
+    """Customers and parts as aliases of each other through orders; components of the whole graph."""
+    e = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), (-1 - F.col("l_partkey")).alias("b"))
     return CL.components(e)
 
 
@@ -401,7 +405,7 @@ def gr_one_hop(t):
 
 
 def _second_hop_sql(gate: str) -> str:
-    return f"with {HOP}, gate as (select count(*) as n from one join orders on edge = o_orderkey where {gate}), two as (select distinct b.edge from incidence a join one on a.edge = one.edge join incidence b on a.chunk = b.chunk and b.edge % 50 = 0), u as (select edge from one union select edge from two where (select n from gate) = 0) select edge from u"
+    return f"with {HOP}, gate as (select count(*) as n from one join orders on edge = o_orderkey where {gate}), two as (select distinct b.edge from incidence a join one on a.edge = one.edge join incidence b on a.chunk = b.chunk), u as (select edge from one union select edge from two where (select n from gate) = 0) select edge from u"
 
 
 def second_hop(t, gate):
@@ -410,7 +414,7 @@ def second_hop(t, gate):
     one = one_hop(inc, inc.where("entity < 5").select("edge").distinct())
     met = one.join(t.orders.where(gate), F.col("edge") == F.col("o_orderkey"), "left_semi").limit(1).agg(F.count("*").alias("met"))
     chunks = inc.join(one, "edge", "left_semi").select("chunk").distinct()
-    two = inc.where("edge % 50 = 0").join(chunks, "chunk", "left_semi").select("edge").distinct()
+    two = inc.join(chunks, "chunk", "left_semi").select("edge").distinct()
     return one.unionByName(two.crossJoin(F.broadcast(met)).where("met = 0").select("edge")).distinct()
 
 

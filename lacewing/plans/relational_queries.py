@@ -28,6 +28,17 @@ def join_sorted(c, name):
     return F.array_join(F.transform(F.array_sort(c), lambda x: x.cast("string")), "|").alias(name)
 
 
+def containing(texts, text: str, words, word: str):
+    """Pairs of a row of ``texts`` and a distinct word (3 characters or more) that its text contains.
+
+    Words are looked up by their first three characters among those that start anywhere in
+    the text, so no text meets a word that it can't contain but by those three.
+    """
+    starts = F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
+    keyed = words.where(F.length(word) >= 3).withColumn("_k", F.substring(word, 1, 3))
+    return texts.withColumn("_k", F.explode(starts)).join(keyed, "_k").where(F.contains(F.col(text), F.col(word))).drop("_k")
+
+
 # ---- sources
 
 
@@ -48,11 +59,11 @@ def src_summaries(t):
     return t.pages.select("page_id").join(d, "page_id", "left").select("page_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("src_article_output", f"with {LINES_SQL}, u as (select doc_id % 300 as base, 0 as rank, doc_id, pos from lines where doc_id < 300 union all select doc_id % 300, 1, doc_id, pos from lines where doc_id between 200 and 699), f as (select base, min(rank * 1000000 + doc_id) as k from u group by base) select u.base, u.doc_id, printf('seg%04d', u.pos + 1) as segment from u join f on u.base = f.base and u.rank * 1000000 + u.doc_id = f.k")
+@query("src_article_output", f"with {LINES_SQL}, u as (select doc_id // 2 as base, 0 as rank, doc_id, pos from lines where doc_id % 3 <> 0 union all select doc_id // 2, 1, doc_id, pos from lines where doc_id % 3 <> 1), f as (select base, min(rank * 1000000000000 + doc_id) as k from u group by base) select u.base, u.doc_id, printf('seg%04d', u.pos + 1) as segment from u join f on u.base = f.base and u.rank * 1000000000000 + u.doc_id = f.k")
 def src_article_output(t):
     d = lines(t).select("doc_id", "pos")
-    u = d.where("doc_id < 300").withColumn("rank", F.lit(0)).unionByName(d.where("doc_id between 200 and 699").withColumn("rank", F.lit(1))).withColumn("base", F.col("doc_id") % 300)
-    u = u.withColumn("k", F.col("rank") * 1_000_000 + F.col("doc_id"))
+    u = d.where("doc_id % 3 <> 0").withColumn("rank", F.lit(0)).unionByName(d.where("doc_id % 3 <> 1").withColumn("rank", F.lit(1))).withColumn("base", F.floor(F.col("doc_id") / 2))
+    u = u.withColumn("k", F.struct("rank", "doc_id"))
     first = u.groupBy("base").agg(F.min("k").alias("k"))
     return u.join(first, ["base", "k"]).select("base", "doc_id", F.format_string("seg%04d", F.col("pos") + 1).alias("segment"))
 
@@ -69,10 +80,10 @@ def src_claims_json_part(t):
     return t.events.select("event_id", F.from_json("props", "k bigint").getField("k").alias("k")).where("k is not null")
 
 
-@query("src_summ_index", "with s as (select doc_id as id, case when doc_id % 3 = 0 then '' else substring(text, 1, 40) end as x from documents where doc_id % 2 = 0), c as (select doc_id as id, substring(text, 41, 40) as y from documents where doc_id % 5 <> 0) select coalesce(s.id, c.id) as id, coalesce(nullif(x, ''), y, '') as body from s full join c on s.id = c.id")
+@query("src_summ_index", "with s as (select doc_id as id, case when doc_id % 3 = 0 then '' else text end as x from documents where doc_id % 2 = 0), c as (select doc_id as id, 'claim: ' || text as y from documents where doc_id % 5 <> 0) select coalesce(s.id, c.id) as id, coalesce(nullif(x, ''), y, '') as body from s full join c on s.id = c.id")
 def src_summ_index(t):
-    s = t.documents.where("doc_id % 2 = 0").selectExpr("doc_id as id", "case when doc_id % 3 = 0 then '' else substring(text, 1, 40) end as x")
-    c = t.documents.where("doc_id % 5 <> 0").selectExpr("doc_id as id", "substring(text, 41, 40) as y")
+    s = t.documents.where("doc_id % 2 = 0").selectExpr("doc_id as id", "case when doc_id % 3 = 0 then '' else text end as x")
+    c = t.documents.where("doc_id % 5 <> 0").selectExpr("doc_id as id", "'claim: ' || text as y")
     return s.join(c, "id", "full").select("id", F.coalesce(F.nullif("x", F.lit("")), "y", F.lit("")).alias("body"))
 
 
@@ -188,9 +199,9 @@ def flt_integration(t):
     return triples(t).select("l_orderkey", "l_linenumber", (2 * fix("c") + fix("k") + fix("r")).alias("score")).where("score >= 240")
 
 
-@query("flt_quality_c", f"with {MERGED} select head, relation, tail, members from kept where head < 20")
+@query("flt_quality_c", f"with {MERGED} select head, relation, tail, members from kept")
 def flt_quality_c(t):
-    return M.merge_triples(triples(t).where("head < 20")).select("head", "relation", "tail", "members")
+    return M.merge_triples(triples(t)).select("head", "relation", "tail", "members")
 
 
 VERDICT = "case doc_id % 4 when 0 then 'In' when 1 then 'out' when 2 then 'Inconclusive' else null end"
@@ -209,12 +220,12 @@ def flt_prefilter_edges(t):
     return t.orders.join(n.where("entities >= 2 and chars >= 60"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "entities", "chars")
 
 
-@query("flt_entity_exists", "with w as (select distinct split_part(p_name, ' ', 2) as w from part) select p_partkey, p_name from part where exists (select 1 from w where contains(lower(p_name), lower(w)) or contains(lower(w), lower(p_name))) and p_size > 25")
+@query("flt_entity_exists", "with w as (select distinct lower(split_part(p_name, ' ', 2)) as w from part where p_size < 3) select p_partkey, p_name from part where exists (select 1 from w where length(w) >= 3 and (contains(lower(p_name), w) or contains(w, lower(p_name))))")
 def flt_entity_exists(t):
-    w = t.part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("w")).distinct()
-    known = F.broadcast(w.agg(F.collect_set(F.lower("w")).alias("known")))  # distinct second words of names: a closed vocabulary
-    low = F.lower("p_name")
-    return t.part.where("p_size > 25").crossJoin(known).where(F.exists("known", lambda k: F.contains(low, k) | F.contains(k, low))).select("p_partkey", "p_name")
+    w = t.part.where("p_size < 3").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("w")).distinct().where("length(w) >= 3")
+    names = t.part.select(F.lower("p_name").alias("low")).distinct()
+    known = containing(names, "low", w, "w").select("low").unionByName(containing(w, "w", names, "low").select("low")).distinct()
+    return t.part.join(known, F.lower("p_name") == F.col("low"), "left_semi").select("p_partkey", "p_name")
 
 
 @query("flt_selfloop", "select l_orderkey, l_linenumber from lineitem join part on l_partkey = p_partkey where lower(trim('Brand#' || (l_suppkey % 25 + 1))) <> lower(trim(p_brand))")
@@ -237,9 +248,9 @@ def flt_medication_re(t):
     return t.conversations.where(F.lower(F.expr("case turn when 1 then 'use risperidone ' else '' end || text")).rlike(f"(^|[^a-z])({MEDICATION})([^a-z]|$)")).select("conv_id", "turn")
 
 
-@query("flt_noise", "with d as (select doc_id, case doc_id % 4 when 0 then 'Keywords: x ' when 1 then 'A 9-year-old boy; ' else '' end || substring(text, 1, 300) as x from documents) select doc_id, (contains(lower(x), 'keywords:') or contains(lower(x), 'et al') or length(x) - length(replace(x, ';', '')) >= 4) as noise, regexp_matches(lower(x), '(^|[^0-9a-z])[0-9]{1,2}-year-old([^a-z]|$)') as patient from d")
+@query("flt_noise", "with d as (select doc_id, case doc_id % 4 when 0 then 'Keywords: x ' when 1 then 'A 9-year-old boy; ' else '' end || text as x from documents) select doc_id, (contains(lower(x), 'keywords:') or contains(lower(x), 'et al') or length(x) - length(replace(x, ';', '')) >= 4) as noise, regexp_matches(lower(x), '(^|[^0-9a-z])[0-9]{1,2}-year-old([^a-z]|$)') as patient from d")
 def flt_noise(t):
-    d = t.documents.select("doc_id", F.expr("case doc_id % 4 when 0 then 'Keywords: x ' when 1 then 'A 9-year-old boy; ' else '' end || substring(text, 1, 300)").alias("x"))
+    d = t.documents.select("doc_id", F.expr("case doc_id % 4 when 0 then 'Keywords: x ' when 1 then 'A 9-year-old boy; ' else '' end || text").alias("x"))
     low = F.lower("x")
     return d.select("doc_id", (F.contains(low, F.lit("keywords:")) | F.contains(low, F.lit("et al")) | (F.regexp_count("x", F.lit(";")) >= 4)).alias("noise"), low.rlike("(^|[^0-9a-z])[0-9]{1,2}-year-old([^a-z]|$)").alias("patient"))
 
@@ -286,12 +297,12 @@ def jn_contradiction(t):
     return pairs.select("head", "tail", F.col("relation").alias("relation_a"), F.col("opposite").alias("relation_b"))
 
 
-@query("jn_contradiction_b", f"with {TRIPLES}, x as (select head, tail, case relation when 'reduces' then 'increases' else 'reduces' end as relation, max(c) as other from triples where article between 1 and 5 and relation in ('reduces', 'increases') group by 1, 2, 3) select l_orderkey, l_linenumber from triples n left join x on n.head = x.head and n.tail = x.tail and n.relation = x.relation where n.article = 0 and (other is null or c > other)")
+@query("jn_contradiction_b", f"with {TRIPLES}, x as (select head, tail, case relation when 'reduces' then 'increases' else 'reduces' end as relation, max(c) as other from triples where article % 2 = 1 and relation in ('reduces', 'increases') group by 1, 2, 3) select l_orderkey, l_linenumber from triples n left join x on n.head = x.head and n.tail = x.tail and n.relation = x.relation where n.article % 2 = 0 and (other is null or c > other)")
 def jn_contradiction_b(t):
     d = triples(t)
     pairs = F.broadcast(M.contradiction_pairs(t.spark, [("reduces", "increases")]))
-    old = d.where("article between 1 and 5").groupBy("head", "tail", F.col("relation").alias("opposite")).agg(F.max("c").alias("other"))
-    new = d.where("article = 0").join(pairs, "relation", "left")
+    old = d.where("article % 2 = 1").groupBy("head", "tail", F.col("relation").alias("opposite")).agg(F.max("c").alias("other"))
+    new = d.where("article % 2 = 0").join(pairs, "relation", "left")
     return new.join(old, ["head", "tail", "opposite"], "left").where("other is null or c > other").select("l_orderkey", "l_linenumber")
 
 
@@ -303,22 +314,21 @@ def jn_local_kg(t):
     return d.select("o_orderkey", F.coalesce(F.when(F.col("r") > 0, F.col("r")), F.col("all") * 10, "cn", F.lit(0)).alias("n"))
 
 
-@query("jn_entity_link_exact", "with k as (select p_partkey as id, 0 as pr, lower(p_name) as key from part where p_partkey < 500 union all select p_partkey, 1, lower(split_part(p_name, ' ', 1)) from part where p_partkey < 500), f as (select key, min(pr * 1000000 + id) as b from k group by key), q as (select p_partkey as q, 0 as pr, lower(p_name) as key from part where p_partkey >= 500 union all select p_partkey, 1, lower(split_part(p_name, ' ', 1)) from part where p_partkey >= 500), j as (select q, min(q.pr * 10000000 + b) as b from q join f on q.key = f.key group by q) select q, b % 1000000 as entity from j")
+@query("jn_entity_link_exact", "with k as (select p_partkey as id, 0 as pr, lower(p_name) as key from part where p_partkey % 2 = 0 union all select p_partkey, 1, lower(split_part(p_name, ' ', 1)) from part where p_partkey % 2 = 0), f as (select key, min(pr * 1000000000000 + id) as b from k group by key), q as (select p_partkey as q, 0 as pr, lower(p_name) as key from part where p_partkey % 2 = 1 union all select p_partkey, 1, lower(split_part(p_name, ' ', 1)) from part where p_partkey % 2 = 1), j as (select q, min(q.pr * 10000000000000 + b) as b from q join f on q.key = f.key group by q) select q, b % 1000000000000 as entity from j")
 def jn_entity_link_exact(t):
     def keys(d, id_name):
         return d.select(F.col("p_partkey").alias(id_name), F.posexplode(F.array(F.lower("p_name"), F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))))).alias("pr", "key"))
 
-    first = keys(t.part.where("p_partkey < 500"), "id").groupBy("key").agg(F.min(F.struct("pr", "id")).alias("b"))
-    q = keys(t.part.where("p_partkey >= 500"), "q").join(first, "key").groupBy("q").agg(F.min(F.struct("pr", "b")).alias("m"))
+    first = keys(t.part.where("p_partkey % 2 = 0"), "id").groupBy("key").agg(F.min(F.struct("pr", "id")).alias("b"))
+    q = keys(t.part.where("p_partkey % 2 = 1"), "q").join(first, "key").groupBy("q").agg(F.min(F.struct("pr", "b")).alias("m"))
     return q.select("q", F.col("m.b.id").alias("entity"))
 
 
-@query("jn_mention_contain", "with w as (select distinct lower(split_part(p_name, ' ', 1)) as w from part), d as (select doc_id, lower(case doc_id % 5 when 0 then 'a red hot thing ' when 1 then 'small blue ' else '' end || substring(text, 1, 200)) as x from documents) select doc_id, w, 300 + least(length(w), 80) as score from d join w on contains(x, w) where length(w) >= 3")
+@query("jn_mention_contain", "with w as (select distinct lower(split_part(p_name, ' ', 1)) as w from part), d as (select doc_id, lower(case doc_id % 5 when 0 then 'a red hot thing ' when 1 then 'small blue ' else '' end || text) as x from documents) select doc_id, w, 300 + least(length(w), 80) as score from d join w on contains(x, w) where length(w) >= 3")
 def jn_mention_contain(t):
     w = t.part.select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("w")).distinct().where("length(w) >= 3")
-    words = F.broadcast(w.agg(F.collect_set("w").alias("ws")))  # first words of names: a closed vocabulary
-    d = t.documents.select("doc_id", F.lower(F.expr("case doc_id % 5 when 0 then 'a red hot thing ' when 1 then 'small blue ' else '' end || substring(text, 1, 200)")).alias("x"))
-    return d.crossJoin(words).select("doc_id", F.explode(F.filter("ws", lambda v: F.contains(F.col("x"), v))).alias("w")).select("doc_id", "w", (F.lit(300) + F.least(F.length("w"), F.lit(80))).cast("bigint").alias("score"))
+    d = t.documents.select("doc_id", F.lower(F.expr("case doc_id % 5 when 0 then 'a red hot thing ' when 1 then 'small blue ' else '' end || text")).alias("x"))
+    return containing(d, "x", w, "w").select("doc_id", "w", (F.lit(300) + F.least(F.length("w"), F.lit(80))).cast("bigint").alias("score"))
 
 
 @query("jn_claim_span", "with r as (select trim(text) as k, min(conv_id * 1000 + turn) as first from conversations where role = 'assistant' group by 1) select c.conv_id, c.turn, r.first from conversations c left join r on trim(c.text) = r.k")
@@ -327,11 +337,11 @@ def jn_claim_span(t):
     return t.conversations.withColumn("k", F.trim("text")).join(r, "k", "left").select("conv_id", "turn", "first")
 
 
-@query("jn_name_lookup", "with j as (select a.p_partkey as q, b.p_partkey as hit, row_number() over (partition by a.p_partkey order by b.p_partkey) as n from part a join part b on lower(trim(a.p_name)) = lower(trim(b.p_name)) where a.p_size = 1) select q, hit from j where n <= 3")
+@query("jn_name_lookup", "with j as (select a.p_partkey as q, b.p_partkey as hit, row_number() over (partition by a.p_partkey order by b.p_partkey) as n from part a join part b on lower(trim(a.p_name)) = lower(trim(b.p_name))) select q, hit from j where n <= 3")
 def jn_name_lookup(t):
     key = F.lower(F.trim("p_name"))
     best = t.part.select(key.alias("k"), F.col("p_partkey").alias("hit")).withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("hit"))).where("n <= 3")
-    return t.part.where("p_size = 1").select(key.alias("k"), F.col("p_partkey").alias("q")).join(best, "k").select("q", "hit")
+    return t.part.select(key.alias("k"), F.col("p_partkey").alias("q")).join(best, "k").select("q", "hit")
 
 
 @query("jn_triples_by_entity", f"with {TRIPLES}, u as (select head as e, l_orderkey, l_linenumber, 0 as side from triples union all select cast(regexp_extract(tail, '[0-9]+') as bigint), l_orderkey, l_linenumber, 1 from triples), d as (select e, l_orderkey, l_linenumber, min(side) as side from u group by 1, 2, 3), r as (select *, row_number() over (partition by e order by side, l_orderkey, l_linenumber) as n from d) select e, l_orderkey, l_linenumber from r where n <= 20")
@@ -342,9 +352,9 @@ def jn_triples_by_entity(t):
     return d.withColumn("n", F.row_number().over(W.partitionBy("e").orderBy("side", "l_orderkey", "l_linenumber"))).where("n <= 20").drop("n", "side")
 
 
-@query("jn_summaries_left", "select l_orderkey, l_linenumber, coalesce(substring(text, 1, 20), '') as body from lineitem left join documents on l_partkey = doc_id")
+@query("jn_summaries_left", "select l_orderkey, l_linenumber, coalesce(md5(text), '') as body from lineitem left join documents on l_partkey = doc_id")
 def jn_summaries_left(t):
-    d = t.documents.select(F.col("doc_id").alias("l_partkey"), F.substring("text", 1, 20).alias("b"))
+    d = t.documents.select(F.col("doc_id").alias("l_partkey"), F.md5("text").alias("b"))
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey").join(d, "l_partkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("b", F.lit("")).alias("body"))
 
 
@@ -379,10 +389,11 @@ def jn_hits_store(t):
     return t.lineitem.select("l_orderkey", "l_linenumber").join(t.orders.where("o_orderstatus = 'F'"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderpriority")
 
 
-@query("jn_strategy_substring", "select distinct l_orderkey from lineitem join part on l_partkey = p_partkey where contains(lower(p_name), 'red')")
+@query("jn_strategy_substring", "with s as (select distinct lower(split_part(p_name, ' ', 3)) as s from part where p_size < 5) select distinct l_orderkey, s from lineitem join part on l_partkey = p_partkey join s on length(s) >= 3 and contains(lower(p_name), s)")
 def jn_strategy_substring(t):
-    hit = t.part.where(F.contains(F.lower("p_name"), F.lit("red"))).select("p_partkey")
-    return t.lineitem.join(hit, F.col("l_partkey") == F.col("p_partkey"), "left_semi").select("l_orderkey").distinct()
+    s = t.part.where("p_size < 5").select(F.lower(F.split_part("p_name", F.lit(" "), F.lit(3))).alias("s")).distinct()
+    hit = containing(t.part.select("p_partkey", F.lower("p_name").alias("low")), "low", s, "s").select("p_partkey", "s")
+    return t.lineitem.join(hit, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "s").distinct()
 
 
 # ---- aggregations

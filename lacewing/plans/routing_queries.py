@@ -196,7 +196,7 @@ def bk_evidence(t):
 
 
 RERANK_SQL = f"""{BUCKET_SQL}, n as (select l_orderkey, count(distinct l_partkey) as entities from lineitem group by 1 having count(distinct l_partkey) >= 2),
-s as (select o_orderkey, bucket, b.claim_type in ('INTERVENTION_OUTCOME', 'COMPARATIVE_OUTCOME', 'BEHAVIORAL_INTERVENTION') as core, entities, o_totalprice as sim from orders join b on b.claim_type = {CLAIM_SQL} join n on l_orderkey = o_orderkey where o_custkey < 200),
+s as (select o_orderkey, bucket, b.claim_type in ('INTERVENTION_OUTCOME', 'COMPARATIVE_OUTCOME', 'BEHAVIORAL_INTERVENTION') as core, entities, o_totalprice as sim from orders join b on b.claim_type = {CLAIM_SQL} join n on l_orderkey = o_orderkey),
 i as (select *, row_number() over (partition by bucket order by sim desc, o_orderkey) as a from s),
 r as (select *, row_number() over (partition by bucket order by core desc, entities desc, sim desc, o_orderkey) as k from i where a <= 30)"""
 
@@ -205,7 +205,7 @@ r as (select *, row_number() over (partition by bucket order by core desc, entit
 def rr_rerank(t):
     n = t.lineitem.groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("entities")).where("entities >= 2")
     core = F.col("claim_type").isin("INTERVENTION_OUTCOME", "COMPARATIVE_OUTCOME", "BEHAVIORAL_INTERVENTION")
-    s = bucketed(t).where("o_custkey < 200").join(n, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("core", core)
+    s = bucketed(t).join(n, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("core", core)
     i = s.withColumn("a", F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("o_totalprice"), "o_orderkey"))).where("a <= 30")
     r = i.withColumn("k", F.row_number().over(W.partitionBy("bucket").orderBy(F.desc("core"), F.desc("entities"), F.desc("o_totalprice"), "o_orderkey"))).where("k <= 8")
     return r.groupBy("o_orderkey").agg(join_sorted(F.collect_list("bucket"), "buckets"), F.min("k").cast("bigint").alias("best"))
@@ -218,11 +218,11 @@ def rr_validate(t):
     return s.join(g, "user_id").where("k % 4 <> 0 and k % 5 + k % 3 >= 3").select("event_id", F.expr("10 * (k % 4) + k % 5 + k % 3").alias("score"))
 
 
-@query("qp_plan", "with c as (select conv_id, min(case when role = 'user' then turn end) as u from conversations group by 1) select c.conv_id, trim(regexp_replace('assessment ' || substring(x.text, 1, 60), '\\s+', ' ', 'g')) as assessment_query, trim(regexp_replace('intervention for ' || substring(x.text, 1, 40), '\\s+', ' ', 'g')) as intervention_query, case when contains(lower(x.text), 'en') then trim(regexp_replace('side effects of ' || substring(x.text, 1, 30), '\\s+', ' ', 'g')) end as side_effect_query from c join conversations x on x.conv_id = c.conv_id and x.turn = c.u")
+@query("qp_plan", "with c as (select conv_id, min(case when role = 'user' then turn end) as u from conversations group by 1) select c.conv_id, trim(regexp_replace('assessment ' || x.text, '\\s+', ' ', 'g')) as assessment_query, trim(regexp_replace('intervention for ' || x.text, '\\s+', ' ', 'g')) as intervention_query, case when contains(lower(x.text), 'en') then trim(regexp_replace('side effects of ' || x.text, '\\s+', ' ', 'g')) end as side_effect_query from c join conversations x on x.conv_id = c.conv_id and x.turn = c.u")
 def qp_plan(t):
     u = t.conversations.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
-    q = lambda lead, n: F.trim(F.regexp_replace(F.concat(F.lit(lead), F.substring("text", 1, n)), r"\s+", " "))
-    return u.select("conv_id", q("assessment ", 60).alias("assessment_query"), q("intervention for ", 40).alias("intervention_query"), F.when(F.contains(F.lower("text"), F.lit("en")), q("side effects of ", 30)).alias("side_effect_query"))
+    q = lambda lead: F.trim(F.regexp_replace(F.concat(F.lit(lead), F.col("text")), r"\s+", " "))
+    return u.select("conv_id", q("assessment ").alias("assessment_query"), q("intervention for ").alias("intervention_query"), F.when(F.contains(F.lower("text"), F.lit("en")), q("side effects of ")).alias("side_effect_query"))
 
 
 @query("qp_side_effect", "with m as (select conv_id, lower(split_part(trim(text), ' ', 1)) as mention, min(turn) as first from conversations where role in ('user', 'assistant') and trim(text) <> '' group by 1, 2) select conv_id, string_agg(mention, ', ' order by first, mention) as side_effect_query from m group by 1")
@@ -247,9 +247,9 @@ def an_verify(t):
     return g.withColumn("status", F.when(F.col("cited") > F.col("contained"), "repaired").otherwise("ok"))
 
 
-@query("an_stub", "with k as (select l_orderkey, string_agg(distinct p_name, ', ' order by p_name) as names, count(*) as n from lineitem join part on l_partkey = p_partkey where l_orderkey < 2000 group by 1) select l_orderkey, 'Evidence on ' || names || ' (' || n || ' items).' as answer from k")
+@query("an_stub", "with k as (select l_orderkey, string_agg(distinct p_name, ', ' order by p_name) as names, count(*) as n from lineitem join part on l_partkey = p_partkey group by 1) select l_orderkey, 'Evidence on ' || names || ' (' || n || ' items).' as answer from k")
 def an_stub(t):
-    k = t.lineitem.where("l_orderkey < 2000").join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("p_name")), ", ").alias("names"), F.count("*").alias("n"))
+    k = t.lineitem.join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("p_name")), ", ").alias("names"), F.count("*").alias("n"))
     return k.select("l_orderkey", F.concat(F.lit("Evidence on "), "names", F.lit(" ("), F.col("n").cast("string"), F.lit(" items).")).alias("answer"))
 
 

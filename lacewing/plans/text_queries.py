@@ -114,9 +114,9 @@ def txt_greek(t):
     return t.documents.select("doc_id", F.sha1(T.biomedical(F.expr("concat(text, chr(10), 'α-β ≥ 5 °C ± λ ↑')"))).alias("h"))
 
 
-@query("txt_citations", "with d as (select doc_id, concat(substring(text, 1, 500), ' (Smith, 2020) [1, 2] (Doe et al.) end', chr(10), 'References', chr(10), 'x') as x from documents) select doc_id, sha1(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?is)\\n\\s*(references|bibliography)\\s*\\n.*$', '', 'g'), '\\([^)]*[0-9]{4}[^)]*\\)', '', 'g'), '\\[[0-9]+(,\\s*[0-9]+)*\\]', '', 'g'), '\\([^)]*et al\\.?[^)]*\\)', '', 'g')) as h from d")
+@query("txt_citations", "with d as (select doc_id, concat(text, ' (Smith, 2020) [1, 2] (Doe et al.) end', chr(10), 'References', chr(10), 'x') as x from documents) select doc_id, sha1(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '(?is)\\n\\s*(references|bibliography)\\s*\\n.*$', '', 'g'), '\\([^)]*[0-9]{4}[^)]*\\)', '', 'g'), '\\[[0-9]+(,\\s*[0-9]+)*\\]', '', 'g'), '\\([^)]*et al\\.?[^)]*\\)', '', 'g')) as h from d")
 def txt_citations(t):
-    x = F.expr("concat(substring(text, 1, 500), ' (Smith, 2020) [1, 2] (Doe et al.) end', chr(10), 'References', chr(10), 'x')")
+    x = F.expr("concat(text, ' (Smith, 2020) [1, 2] (Doe et al.) end', chr(10), 'References', chr(10), 'x')")
     return t.documents.select("doc_id", F.sha1(T.strip_citations(x)).alias("h"))
 
 

@@ -80,3 +80,59 @@ def score(df: DataFrame, key: str, prompt: str, scorer: Scorer | None, fallback:
 def usage(scored: DataFrame) -> DataFrame:
     """Calls and their outcomes; cached rows and defaults made no call."""
     return scored.groupBy("status").agg(F.count("*").alias("rows"), F.sum("attempts").alias("calls"))
+
+
+def score_many(df: DataFrame, key: str, prompt: str, scorer: Scorer | None, fallback: Scorer, fields: str, **options) -> DataFrame:
+    """One row for each item that a scorer names for a row: key, status, pos and the fields of the item.
+
+    Answers are JSON lists of objects; ``fields`` is their schema.  An answer that is no list
+    counts as none and is asked for again.  A row without items gives no rows.
+    """
+
+    def is_list(text: str) -> bool:
+        try:
+            return isinstance(json.loads(text), list)
+        except ValueError:
+            return False
+
+    scored = score(df, key, prompt, scorer, fallback, check=is_list, **options)
+    items = scored.select(key, "status", F.posexplode(F.from_json("answer", f"array<struct<{fields}>>")).alias("pos", "item"))
+    return items.select(key, "status", "pos", "item.*")
+
+
+def embedded(df: DataFrame, key: str, text: str, encode: Callable[[list[str]], list[list[float]]], batch: int = 64) -> DataFrame:
+    """(key, embedding) by a model: ``encode`` maps a batch of texts to vectors; null texts are empty ones."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": [list(map(float, v)) for v in encode(part[text].fillna("").tolist())]})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<double>")
+
+
+def within(lead: F.Column, blocks: list[F.Column], cap: int, empty: str = "[]") -> F.Column:
+    """A prompt of a lead and blocks; beyond ``cap`` characters blocks are emptied from the first on, then it is cut."""
+    text = lambda k: F.concat(lead, *(F.lit(empty) if j < k else b for j, b in enumerate(blocks)))
+    out = F.substring(text(len(blocks)), 1, cap)
+    for k in range(len(blocks), -1, -1):
+        out = F.when(F.length(text(k)) <= cap, text(k)).otherwise(out)
+    return out
+
+
+def first_given(*names: str) -> F.Column:
+    """The first of several keys that holds more than blanks, trimmed where it is not the last."""
+    return F.coalesce(*(F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names[:-1]), F.col(names[-1]).cast("string"))
+
+
+def mapped(value: F.Column, words: dict[str, str], other: str) -> F.Column:
+    """A word of a closed set, whatever its case and blanks; ``other`` for any other and for null."""
+    table = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
+    return F.coalesce(F.try_element_at(table, F.lower(F.trim(value))), F.lit(other))
+
+
+def listed(value: F.Column) -> F.Column:
+    """A list from comma-separated text: trimmed, without empty items."""
+    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")

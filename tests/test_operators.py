@@ -159,3 +159,79 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["list"]) == 0 and "agg_merge_triples" in capsys.readouterr().out
     assert main(["run", "agg_degree", "--data", "/root/testdata/sf0.001", "--out", str(tmp_path / "o"), "--format", "json"]) == 0
     assert spark.read.json(str(tmp_path / "o")).count() > 0
+
+
+def test_alias_components_by_brute_force(spark):
+    from lacewing.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    orders = {r.o_orderkey: r.o_custkey for r in spark.read.parquet(f"{folder}/orders.parquet").collect()}
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for r in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        if r.l_orderkey in orders:
+            a, b = sorted((find(orders[r.l_orderkey]), find(-1 - r.l_partkey)))
+            root[b] = a
+    assert {r.node: r.root for r in QUERIES["clu_alias_unionfind"](spark, folder).collect()} == {x: find(x) for x in list(root)}
+
+
+def test_fuzzy_links_by_brute_force(spark):
+    import difflib
+
+    from lacewing.operators import linking as L
+
+    r = np.random.default_rng(7)
+    names = ["".join(r.choice(list("abcde "), int(r.integers(1, 40)))) for _ in range(150)] + ["ab", "abc", "aaaaaaaaaaaaaa"]
+    mentions = []
+    for x in names * 3:
+        y = list(x)
+        for _ in range(int(r.integers(0, 4))):
+            at = int(r.integers(0, len(y) + 1))
+            y[at : at + int(r.integers(0, 2))] = list(r.choice(list("abcde"), int(r.integers(0, 2))))
+        mentions.append("".join(y))
+    got = L.fuzzy_link(spark.createDataFrame([(m,) for m in [*mentions, None]], "mention string"), spark.createDataFrame([(n,) for n in [*names, None]], "name string"))
+    got = {x.mention: x.name for x in got.collect()}
+    want = {m: c[0] for m in set(mentions) - {""} if (c := difflib.get_close_matches(m, sorted(set(names)), n=1, cutoff=0.92))}
+    assert got == want and len(want) > 150
+
+
+def test_runs_resume_only_with_their_fingerprint(spark, tmp_path):
+    from lacewing.streaming.runs import FingerprintMismatch, Run
+
+    folder = f"file://{tmp_path}/run"
+    run = Run(spark, folder)
+    assert run.prepare({"input": "a"}) is False and run.records("compose").count() == 0
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "id bigint, v string")
+    run.append("compose", rows, "id")
+    run.append("compose", rows.where("id = 2").withColumn("v", F.lit("z")), "id")
+    run.mark("compose", "done", 2)
+    again = Run(spark, folder)
+    assert again.prepare({"input": "a"}) is True and again.done("compose") and not again.done("critic")
+    assert {r.key: json.loads(r.record)["v"] for r in again.records("compose").collect()} == {"1": "x", "2": "z"}
+    more = spark.createDataFrame([(2, "n"), (3, "n")], "id bigint, v string")
+    assert [r.id for r in again.pending("compose", more, "id").collect()] == [3]
+    with pytest.raises(FingerprintMismatch):
+        Run(spark, folder).prepare({"input": "b"})
+    fresh = Run(spark, folder)
+    assert fresh.prepare({"input": "b"}, resume=False) is False and fresh.records("compose").count() == 0
+
+
+def test_scorers_of_many_items_and_embeddings(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "bad")], "k bigint, t string")
+    tries = {"n": 0}
+
+    def scorer(texts, tries=tries):
+        tries["n"] += 1
+        return ["no list" if t == "bad" and tries["n"] < 9 else json.dumps([{"name": w} for w in t.split()]) for t in texts]
+
+    got = S.score_many(df.coalesce(1), "k", "t", scorer, lambda x: ['[{"name": "default"}]'] * len(x), "name string").collect()
+    assert sorted((r.k, r.pos, r.name, r.status) for r in got) == [(1, 0, "a", "ok"), (1, 1, "b", "ok"), (3, 0, "default", "fallback")]
+    vectors = S.embedded(df, "k", "t", lambda texts: [[len(t), 1] for t in texts]).collect()
+    assert sorted((r.k, r.embedding) for r in vectors) == [(1, [3.0, 1.0]), (2, [0.0, 1.0]), (3, [3.0, 1.0])]

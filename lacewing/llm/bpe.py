@@ -25,7 +25,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -169,15 +169,24 @@ class Vocabulary:
 
     def _plain(self, text: str) -> Iterator[bytes]:
         for part in self.slices(text):
-            words = (self.pattern if self.not_plain.search(part) else self.plain).findall(part)
-            if len(self.kept) > KEPT:
-                self.kept.clear()
-            fresh = set(words).difference(self.kept)
-            self.kept.update(zip(fresh, map(self.pretoken, fresh), strict=True))
-            yield b"".join(map(self.kept.__getitem__, words))
-            for w in fresh if len(fresh) and len(max(fresh, key=len)) > SHORT else ():
-                if len(w) > SHORT:
-                    del self.kept[w]
+            pattern = self.pattern if self.not_plain.search(part) else self.plain
+            if len(part) <= 2 * SLICE:
+                yield self._words(pattern.findall(part))
+                continue
+            found = (m[0] for m in pattern.finditer(part))  # no place to cut: a block of words at a time
+            while words := list(islice(found, SLICE)):
+                yield self._words(words)
+
+    def _words(self, words: list[str]) -> bytes:
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        fresh = set(words).difference(self.kept)
+        self.kept.update(zip(fresh, map(self.pretoken, fresh), strict=True))
+        ids = b"".join(map(self.kept.__getitem__, words))
+        for w in fresh if len(fresh) and len(max(fresh, key=len)) > SHORT else ():
+            if len(w) > SHORT:
+                del self.kept[w]
+        return ids
 
     def decode(self, blocks: Iterator[bytes]) -> Iterator[str]:
         """Text of blocks of ids; a character may span blocks."""

@@ -46,6 +46,7 @@ TERM = r"(?<!\p{L})\p{L}{4,}+"
 REMOVE, GENERALISE, UNSEEN = 0.9, 0.75, 1
 BROADCAST_ROWS = 200_000
 CHUNK = 256
+BUCKETS = 128
 SPAN = "struct<start:bigint,kind_no:int,stop:bigint,kind:string,value:string>"
 
 
@@ -115,6 +116,10 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(_lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 def _entities(spans: Column) -> Column:
     return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], _lower(s["value"]))))
 
@@ -166,10 +171,13 @@ def detect(docs: DataFrame, text_col: str = "text", carry: list[str] | None = No
     found = table.where(F.size("_base") > 0)
     terms = disclosing(found.select("_key", "_text", "_base"), docs, text_col)
     mine = found.select("_key", F.explode(_entities(F.col("_base"))).alias("entity")).join(terms, "entity")
-    mine = mine.groupBy("_key", "term").agg(F.max("ratio").alias("ratio")).groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("_terms"))
+    mine = mine.groupBy("_key", "term").agg(F.max("ratio").alias("ratio"))
+    # a map is searched from its start, so a text's terms are in BUCKETS maps of a few terms each
+    mine = mine.groupBy("_key", _bucket(F.col("term")).alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("term", "ratio"))).alias("m"))
+    mine = mine.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("_terms"))
     more = found.join(mine, "_key", "left").withColumn("_runs", F.when(F.col("_terms").isNotNull(), F.regexp_extract_all("_text", F.lit(TERM), F.lit(0))).otherwise(F.array().cast("array<string>")))
     more = more.withColumn("_at", located(F.col("_text"), F.col("_runs"), TERM, len(KINDS), "term"))
-    ratio = lambda s: F.try_element_at("_terms", _lower(s["value"]))
+    ratio = lambda s: F.try_element_at(F.try_element_at("_terms", _bucket(_lower(s["value"]))), _lower(s["value"]))
     apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     hits = F.filter("_at", lambda s: F.coalesce(ratio(s), F.lit(0.0)) >= GENERALISE)
     more = more.withColumn("_hits", F.filter(hits, apart))

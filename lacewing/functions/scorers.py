@@ -135,4 +135,4 @@ def mapped(value: F.Column, words: dict[str, str], other: str) -> F.Column:
 
 def listed(value: F.Column) -> F.Column:
     """A list from comma-separated text: trimmed, without empty items."""
-    return F.filter(F.transform(F.split(value, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(value, ","), lambda x: F.trim(x)), lambda x: x != "")

@@ -45,7 +45,7 @@ LETTERS = 4
 TERM = r"(?<!\p{L})\p{L}{4,}+"
 REMOVE, GENERALISE, UNSEEN = 0.9, 0.75, 1
 BROADCAST_ROWS = 200_000
-CHUNK = 256
+CHUNK = 32
 BUCKETS = 128
 SPAN = "struct<start:bigint,kind_no:int,stop:bigint,kind:string,value:string>"
 

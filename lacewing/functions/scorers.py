@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Scorer = Callable[[list[str]], list[str]]
-PAYLOAD_KEYS = (
-    "evidence_hyperedges canonical_hyperedge selected_canonical_entities primary_triples supporting_triples entity_roles qualifiers polarity negation speculative confidence warnings"
-).split()  # fixed values: keys a payload must have
+# Keys a payload must have.
+PAYLOAD_KEYS = [
+    "evidence_hyperedges", "canonical_hyperedge", "selected_canonical_entities", "primary_triples", "supporting_triples", "entity_roles",
+    "qualifiers", "polarity", "negation", "speculative", "confidence", "warnings",
+]
 
 
 def render(template: str, **values) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIM_BLOCK = 4096
+ROWS = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -65,10 +66,16 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, query_rows: int = DIM_B
                 x = np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, -1)
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
                 own = np.asarray(b.column(0))
-                best = np.hstack([best, m @ x.T])
-                best_id = np.hstack([best_id, np.broadcast_to(own, (len(ids), len(own)))])
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
+                for at in range(0, len(own), ROWS):
+                    score = np.hstack([best, m @ x[at : at + ROWS].T])
+                    known = np.hstack([best_id, np.broadcast_to(own[at : at + ROWS], (len(ids), len(own[at : at + ROWS])))])
+                    if score.shape[1] > k:  # at the k-th score ids decide, so all of that score are kept for the sort
+                        least = -np.partition(-score, k - 1, axis=1)[:, k - 1 : k]
+                        wide = int((score >= least).sum(1).max())
+                        pick = np.argpartition(-score, min(wide, score.shape[1]) - 1, axis=1)[:, :wide]
+                        score, known = np.take_along_axis(score, pick, 1), np.take_along_axis(known, pick, 1)
+                    order = np.lexsort((known, -score), axis=1)[:, :k]
+                    best, best_id = np.take_along_axis(score, order, 1), np.take_along_axis(known, order, 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best_id.ravel()), pa.array(best.ravel())], ["q", "id", "score"])
 
         parts.append(corpus.select("id", "v").mapInArrow(run, "q bigint, id bigint, score double"))

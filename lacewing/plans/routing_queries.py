@@ -181,7 +181,7 @@ def val_llm_payload(t):
     return t.events.select("event_id", (k.isNotNull() & k.try_cast("bigint").isNotNull() & F.col("event_type").isin("view", "click")).alias("valid"))
 
 
-BUCKET_ROWS = [(b, c) for b, types in V.BUCKETS.items() for c in types.split()]
+BUCKET_ROWS = [(b, c) for b, types in V.BUCKETS.items() for c in types]
 BUCKET_SQL = "b(bucket, claim_type) as (values " + ", ".join(f"('{b}', '{c}')" for b, c in BUCKET_ROWS) + ")"
 
 

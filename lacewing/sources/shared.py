@@ -1,7 +1,12 @@
-"""A folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+"""A folder that driver and executors share: ``spark.checkpoint.dir``.
+
+Where that is unset and the master is local, one temporary folder is made; on a cluster
+that would be a folder of each machine's own, so it is an error.
+"""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +15,18 @@ from pyspark.sql import SparkSession
 _OWN: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lacewing-")
+    return _OWN[app]
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lacewing-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"

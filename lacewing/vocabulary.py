@@ -3,21 +3,20 @@
 Fixed values: these tables must equal the published system's for equal results.
 """
 
-# canonical relation: its synonyms
-RELATIONS = {
-    "causal_of": "causes cause caused_by causal_of leads_to results_in triggers",
-    "risk_factor_for": "risk_factor_for predisposes_to increases_risk_of",
-    "associated_with": "associated_with correlated_with linked_to related_to co_occurs_with",
-    "exacerbates": "exacerbates worsens aggravates",
-    "reduces": "reduces decreases lowers diminishes alleviates treats treated_with effective_for inhibits blocks",
-    "increases": "increases elevates heightens raises",
-    "improves_function": "improves_function improves enhances facilitates",
-    "prevents": "prevents protects_against",
-    "adverse_effect": "adverse_effect side_effect causes_harm",
-    "has_diagnosis": "has_diagnosis diagnosed_with",
-    "exhibits_symptom": "exhibits_symptom presents_with displays",
-}
-RELATION_OF = {s: r for r, names in RELATIONS.items() for s in names.split()}
+# relation as written: canonical relation
+RELATION_OF = {
+    "causes": "causal_of", "cause": "causal_of", "caused_by": "causal_of", "causal_of": "causal_of", "leads_to": "causal_of", "results_in": "causal_of", "triggers": "causal_of",
+    "risk_factor_for": "risk_factor_for", "predisposes_to": "risk_factor_for", "increases_risk_of": "risk_factor_for",
+    "associated_with": "associated_with", "correlated_with": "associated_with", "linked_to": "associated_with", "related_to": "associated_with", "co_occurs_with": "associated_with",
+    "exacerbates": "exacerbates", "worsens": "exacerbates", "aggravates": "exacerbates",
+    "reduces": "reduces", "decreases": "reduces", "lowers": "reduces", "diminishes": "reduces", "alleviates": "reduces", "treats": "reduces", "treated_with": "reduces", "effective_for": "reduces", "inhibits": "reduces", "blocks": "reduces",
+    "increases": "increases", "elevates": "increases", "heightens": "increases", "raises": "increases",
+    "improves_function": "improves_function", "improves": "improves_function", "enhances": "improves_function", "facilitates": "improves_function",
+    "prevents": "prevents", "protects_against": "prevents",
+    "adverse_effect": "adverse_effect", "side_effect": "adverse_effect", "causes_harm": "adverse_effect",
+    "has_diagnosis": "has_diagnosis", "diagnosed_with": "has_diagnosis",
+    "exhibits_symptom": "exhibits_symptom", "presents_with": "exhibits_symptom", "displays": "exhibits_symptom",
+}
 
 CONTRADICTIONS = [
     ("reduces", "increases"), ("reduces", "exacerbates"), ("improves_function", "adverse_effect"), ("prevents", "causal_of"),
@@ -30,12 +29,13 @@ SHORT_RELATIONS = {
     "activate": "activates", "activates": "activates", "associated with": "associated_with", "interacts with": "interacts_with",
 }
 
+# evidence bucket: claim types
 BUCKETS = {
-    "assessment": "SYMPTOM_EXHIBITION FUNCTIONAL_PROFILE SEVERITY_CLASSIFICATION DIAGNOSTIC_ASSESSMENT DEVELOPMENTAL_POSITION CARE_GIVING_CONTEXT PREFERENCE",
-    "intervention": "BEHAVIORAL_INTERVENTION EDUCATIONAL_INTERVENTION INTERVENTION_OUTCOME COMPARATIVE_OUTCOME COMPARATIVE COMPARISON",
-    "side_effect": "ADVERSE_EFFECT RISK_FACTOR SERVICE_ACCESS PHARMACOLOGICAL_INTERVENTION PRESCRIPTION PRESCRIPTION_RATE",
-    "counterfactual": "COMPARATIVE COMPARISON COMPARATIVE_OUTCOME INTERVENTION_OUTCOME ADVERSE_EFFECT RISK_FACTOR",
-}
+    "assessment": ["SYMPTOM_EXHIBITION", "FUNCTIONAL_PROFILE", "SEVERITY_CLASSIFICATION", "DIAGNOSTIC_ASSESSMENT", "DEVELOPMENTAL_POSITION", "CARE_GIVING_CONTEXT", "PREFERENCE"],
+    "intervention": ["BEHAVIORAL_INTERVENTION", "EDUCATIONAL_INTERVENTION", "INTERVENTION_OUTCOME", "COMPARATIVE_OUTCOME", "COMPARATIVE", "COMPARISON"],
+    "side_effect": ["ADVERSE_EFFECT", "RISK_FACTOR", "SERVICE_ACCESS", "PHARMACOLOGICAL_INTERVENTION", "PRESCRIPTION", "PRESCRIPTION_RATE"],
+    "counterfactual": ["COMPARATIVE", "COMPARISON", "COMPARATIVE_OUTCOME", "INTERVENTION_OUTCOME", "ADVERSE_EFFECT", "RISK_FACTOR"],
+}
 
 SECTION_SCORES = {
     "results": 0.8, "discussion": 0.7, "abstract": 0.6, "introduction": 0.5, "content": 0.5, "methods": 0.3, "references": 0.1,
@@ -81,10 +81,10 @@ SCREEN_SECTIONS = {
     "supplementary": r"supplement(ary)?|appendi(x|ces)|additional( information)?",
 }
 HEDGES = "not|no|without|denied|unable|fail|fails|failed|doubt|uncertain|may|might|possibly|likely|unclear|inconclusive|appear|seem|seems"
-HIGH_VALUE_TERMS = (
-    "inhibit activate regulate express bind interact cause treat prevent induce suppress enhance protein gene enzyme receptor pathway mechanism "
-    "disease cancer tumor therapy treatment drug significant increase decrease effect response"
-).split()
+HIGH_VALUE_TERMS = [
+    "inhibit", "activate", "regulate", "express", "bind", "interact", "cause", "treat", "prevent", "induce", "suppress", "enhance", "protein", "gene",
+    "enzyme", "receptor", "pathway", "mechanism", "disease", "cancer", "tumor", "therapy", "treatment", "drug", "significant", "increase", "decrease", "effect", "response",
+]
 UNICODE_NAMES = {
     "α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "μ": "mu", "°": " degrees", "±": "+/-",
     "→": " -> ", "←": " <- ", "↑": " up ", "↓": " down ",

@@ -235,3 +235,28 @@ def test_scorers_of_many_items_and_embeddings(spark):
     assert sorted((r.k, r.pos, r.name, r.status) for r in got) == [(1, 0, "a", "ok"), (1, 1, "b", "ok"), (3, 0, "default", "fallback")]
     vectors = S.embedded(df, "k", "t", lambda texts: [[len(t), 1] for t in texts]).collect()
     assert sorted((r.k, r.embedding) for r in vectors) == [(1, [3.0, 1.0]), (2, [0.0, 1.0]), (3, [3.0, 1.0])]
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_complete_links_by_brute_force(spark, block, monkeypatch):
+    """In parts as over the whole key: the nearest two clusters merge while all of their pairs are close."""
+    from lacewing.operators import cluster as CL
+
+    monkeypatch.setattr(CL.linked_parts, "__defaults__", (block,))
+    r = np.random.default_rng(11)
+    x = np.repeat(r.normal(size=(12, 5)), 5, 0) + r.normal(size=(60, 5)) * 0.35
+    rows = [(k, k % 2, x[k].tolist()) for k in range(60)]
+    got = {g.vec_id: g.cluster for g in CL.complete_linkage(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>"), "label", 0.6).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for label in (0, 1):
+        clusters = [[k] for k in range(60) if k % 2 == label]
+        while True:
+            far = [(max(1 - u[a] @ u[b] for a in p for b in q), p, q) for i, p in enumerate(clusters) for q in clusters[i + 1 :]]
+            d, p, q = min(far, key=lambda f: f[0])
+            if d > 0.4:
+                break
+            clusters.remove(q)
+            p.extend(q)
+        want |= {k: min(c) for c in clusters for k in c}
+    assert got == want and len(set(want.values())) < 50

@@ -224,3 +224,30 @@ def test_pipeline_tokens_are_decoded(spark, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps(spec))
     bad = bpe.encode_and_decode(spark.createDataFrame([(1, "axb"), (2, "ab")], "doc_id long, text string"), str(tmp_path / "v.json")).collect()
     assert {r.doc_id: (r.lossless, r.decoded_sha256 == sha("ayb")) for r in bad} == {1: (False, True), 2: (True, False)}
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, null ids and texts, repeated rows, very long texts, columns with names used within."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert P.run(spark, f"{tmp_path}/empty").count() == 0
+    own = " ".join(f"unique{k}" for k in range(30_000))
+    odd = [(None, "no id but words"), (10**6, None), (10**6 + 1, ""), (10**6 + 2, own), (10**6 + 2, own), (10**6 + 3, "mail me at some.body@mail.example now please all of you")]
+    more = spark.createDataFrame(odd, "doc_id bigint, text string").selectExpr("doc_id", "text", "'en' as lang", "cast(null as string) as source", f"cast(length(text) as {docs.schema['n_chars'].dataType.simpleString()}) as n_chars")
+    table = docs.limit(60).unionByName(more).selectExpr("*", "1 as id", "2 as _slot_", "'x' as spans", "3 as digest", "4 as root", "5 as ratio", "6 as term")
+    table.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").where("false").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        after = stage(spark, now, f"{tmp_path}/odd")
+        assert after.columns == now.columns
+        now = after
+    texts = {(r.doc_id, r.text) for r in now.collect()}
+    assert (None, "no id but words") in texts and not any(k in (10**6, 10**6 + 1) for k, _ in texts)
+    assert sum(k == 10**6 + 2 for k, _ in texts) == 1 and any("[EMAIL]" in t for k, t in texts if k == 10**6 + 3)
+    out = P.run(spark, f"{tmp_path}/odd").collect()
+    assert all(r.lossless for r in out) and {r.doc_id for r in out} == {k for k, _ in texts}

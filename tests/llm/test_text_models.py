@@ -95,6 +95,18 @@ def test_overlaps_by_brute_force(monkeypatch, hits, size):
     assert got == [(k, *x) for k, t in enumerate(texts) for x in plain_overlaps(t, items)]
 
 
+def test_overlaps_of_odd_tables(spark):
+    """Repeated and null items, repeated rows, ties between items, a very long text, clashing columns."""
+    words = " ".join(WORDS[:20])
+    rows = [(1, words), (1, words), (None, words), (2, "x " * 100_000 + words), (3, None), (4, words + " " + words)]
+    bench = spark.createDataFrame([(5, words), (6, words), (6, words), (None, words), (7, None), (8, ""), (9, " ")], "item_id bigint, text string").selectExpr("*", "1 as doc_id", "2 as n_words")
+    table = docs(spark, rows).selectExpr("*", "1 as start_word", "2 as n_equal", "'d' as digest")
+    got = sorted(((r.doc_id or 0), r.item_id, r.start_word, r.n_equal) for r in decontam.overlaps(table, bench).collect())
+    want = [(k, i, s, 20) for k, s in ((0, 0), (1, 0), (1, 0), (2, 100_000), (4, 0)) for i in (5, 6, 6)]
+    assert got == sorted(want)
+    assert [r.doc_id for r in decontam.remove_contaminated(table, bench).collect()] == [3]
+
+
 def test_overlaps_of_one_repeated_word():
     import time
     import tracemalloc

@@ -122,3 +122,31 @@ def test_dataset(spark):
         start += len(ids)
     assert got == want
     work.close()
+
+
+def test_text_without_a_place_to_cut(voc, lib, monkeypatch):
+    monkeypatch.setattr("lacewing.llm.bpe.SLICE", 50)
+    for text in ("ab1!" * 400, " " * 700, "\u4e2d\u6587" * 300, "a1" * 300 + " b" * 300):
+        ids = lib.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(voc.encode(text)), "<u4").tolist() == ids
+
+
+def test_dataset_of_odd_tables(spark):
+    """Empty table, repeated and null ids, a very long text, clashing columns."""
+    lib = Tokenizer.from_file(WORD)
+    work = Workspace(spark, "test")
+    rows = [(3, "same"), (3, "other words"), (3, "same"), (None, "no id"), (None, None), (-4, "w " * 60_000), (7, "")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as start", "'x' as ids", "2 as part", "3 as n_tokens")
+    rans.write(table, WORD, work.path("d"), work)
+    got = rans.documents(spark, work.path("d"), digest=True).collect()
+    want = []
+    for k, t in rows:
+        ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        want.append((k is not None, k or 0, len(ids), zlib.crc32(ids.tobytes())))
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
+    order = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in order] == np.cumsum([0, *(r.n_tokens for r in order[:-1])]).tolist()
+    assert [r.doc_id for r in order] == [None, None, -4, 3, 3, 3, 7]
+    rans.write(table.where("false"), WORD, work.path("e"), work)
+    assert rans.documents(spark, work.path("e"), digest=True).count() == 0
+    work.close()

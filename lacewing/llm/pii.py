@@ -59,7 +59,8 @@ def located(text: Column, found: Column, pattern: str, kind_no: int, kind: str)
     z = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
     place = F.lit(0).cast("bigint")
     size = lambda x: (F.length(x["m"]) + F.length(x["p"])).cast("bigint")
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / CHUNK).cast("int")), lambda k: F.slice(z, k * CHUNK + 1, F.lit(CHUNK)))
+    # bound as a variable, else every run would find and split all of the text anew
+    runs = F.flatten(F.transform(F.array(z), lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda k: F.slice(all_, k * CHUNK + 1, F.lit(CHUNK)))))
     none = F.array().cast(f"array<{SPAN}>")
 
     def span(at, x):

@@ -50,6 +50,16 @@ BUCKETS = 128
 SPAN = "struct<start:bigint,kind_no:int,stop:bigint,kind:string,value:string>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of the value, which is evaluated once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def in_runs(items: Column) -> Column:
+    """An array cut into runs of CHUNK items."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int")), lambda k: F.slice(items, k * CHUNK + 1, F.lit(CHUNK)))
+
+
 def located(text: Column, found: Column, pattern: str, kind_no: int, kind: str) -> Column:
     """Spans of ``found``, all matches of the pattern in order, with their places.
 
@@ -59,8 +69,7 @@ def located(text: Column, found: Column, pattern: str, kind_no: int, kind: str)
     z = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, p: F.struct(m.alias("m"), p.alias("p")))
     place = F.lit(0).cast("bigint")
     size = lambda x: (F.length(x["m"]) + F.length(x["p"])).cast("bigint")
-    # bound as a variable, else every run would find and split all of the text anew
-    runs = F.flatten(F.transform(F.array(z), lambda all_: F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda k: F.slice(all_, k * CHUNK + 1, F.lit(CHUNK)))))
+    runs = let(z, in_runs)
     none = F.array().cast(f"array<{SPAN}>")
 
     def span(at, x):
@@ -202,9 +211,25 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     rows = detect(docs, text_col)
     sign = lambda s: F.when(s["kind"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(F.when(s["kind"] == "generalise", "term").otherwise(s["kind"])), F.lit("]")))
-    cut = lambda a, s: F.substring(F.col("_text"), (a["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - a["at"]).cast("int"))
-    walk = F.aggregate("_all", F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")), lambda a, s: F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(cut(a, s), sign(s)))).otherwise(a["out"]).alias("out")))
-    rows = rows.withColumn("_walk", walk)
+    gap = "struct<since:bigint,start:bigint,sign:string>"
+
+    def step(a, s):
+        fresh = F.array(F.struct(a["at"].alias("since"), s["start"].alias("start"), sign(s).alias("sign")))
+        return F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], fresh)).otherwise(a["out"]).alias("out"))
+
+    # gaps between spans, by runs: lists grow and texts are cut within a run only
+    within = lambda at, run: F.aggregate(run, F.struct(at.alias("at"), F.array().cast(f"array<{gap}>").alias("out")), step)
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<array<{gap}>>").alias("out"))
+    walk = F.aggregate(in_runs(F.col("_all")), begin, lambda a, run: let(within(a["at"], run), lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], F.array(r["out"])).alias("out"))))
+    rows = rows.withColumn("_walk", F.when(F.size("_all") > 0, walk))
+
+    def part(run):
+        first, last = F.element_at(run, 1), F.element_at(run, -1)
+        piece = F.substring(F.col("_text"), (first["since"] + 1).cast("int"), (last["start"] - first["since"]).cast("int"))
+        cut = lambda of, x: F.concat(F.substring(of, (x["since"] - first["since"] + 1).cast("int"), (x["start"] - x["since"]).cast("int")), x["sign"])
+        return let(piece, lambda of: F.array_join(F.transform(run, lambda x: cut(of, x)), ""))
+
+    joined_parts = F.array_join(F.transform(F.filter("_walk.out", lambda run: F.size(run) > 0), part), "")
     tail = F.substring(F.col("_text"), (F.col("_walk.at") + 1).cast("int"), F.length("_text"))
-    text = F.when(F.size("_all") > 0, F.concat(F.concat_ws("", "_walk.out"), tail)).otherwise(F.col("_text"))
+    text = F.when(F.size("_all") > 0, F.concat(joined_parts, tail)).otherwise(F.col("_text"))
     return rows.withColumn("_new", text).select(*(F.col("_new").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))

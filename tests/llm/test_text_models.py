@@ -174,6 +174,23 @@ def test_disclosing_terms(spark):
     assert pii.findings(docs(spark, rows).where("false")).count() == 0
 
 
+def test_sanitised_texts_by_brute_force(spark, monkeypatch):
+    """Spans of all kinds, overlapping ones too, replaced one after the other in plain Python."""
+    monkeypatch.setattr(pii, "CHUNK", 3)
+    r = np.random.default_rng(12)
+    parts = ["a.b@c.de", "10.0.0.1", "4111 1111 1111 1111", "+1 (555) 555-5555", "Zorbulon", "plain", "\u00e4\u00f6\u4e2d", "+49 4111111111111111", "1.2.3.4@x.y", "\U0001f600"]
+    rows = [(k, " ".join(r.choice(parts, int(r.integers(0, 40))))) for k in range(80)] + [(80, None), (81, ""), (82, "4111111111111111")]
+    found = {x.doc_id: x.spans for x in pii.findings(docs(spark, rows)).collect()}
+    clean = {x.doc_id: x.text for x in pii.sanitise(docs(spark, rows)).collect()}
+    for k, t in rows:
+        at, out = 0, []
+        for kind, start, stop in ((a, int(b), int(c)) for a, b, c in (x.split(":") for x in found[k].split(",") if x)):
+            if start >= at:
+                out += [t[at:start], "" if kind == "remove" else "[TERM]" if kind == "generalise" else f"[{kind.upper()}]"]
+            at = max(at, stop)
+        assert clean[k] == (None if t is None else "".join(out) + t[at:])
+
+
 def test_disclosing_terms_of_rare_values(spark):
     rows = [(k, f"alpha beta gamma delta text number {'Zorbulon' if k < 1 else ''} {'Quendrix' if 1 <= k < 3 else ''} {'x@y.zz' if k < 1 else 'p@q.rr' if k < 3 else ''} {chr(97 + k % 26) * 3}{k}") for k in range(400)]
     got = {r.doc_id: r.spans for r in pii.findings(docs(spark, rows)).collect()}

@@ -1,8 +1,8 @@
 """Array kernels over Arrow string columns: word spans, word hashes, shingles.
 
 A word is a maximal run of bytes other than space and \\x09-\\x0D; A-Z are
-lower-cased first.  All steps are whole-array numpy operations over chunks of a
-few megabytes, so the memory needed does not depend on the partition.
+lower-cased first.  All steps are whole-array numpy operations over chunks of about
+half a megabyte, so the memory needed does not depend on the partition.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -18,16 +18,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 _ROOT = str(Path(__file__).resolve().parents[2])
+BATCH_BYTES = 1 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package by name."""
+    """Let Python workers import this package by name, and bound Arrow batches by their bytes.
+
+    Batches of long texts would else hold 10,000 rows each, in a task's JVM and in its
+    worker at once.  A smaller bound set by the caller stays.
+    """
+    if _size(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if _ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *filter(None, known)])
 
 
+def _size(setting: str) -> int:
+    """Bytes of a setting such as 67108864b or 64m; one without a limit is larger than any."""
+    number, unit = re.fullmatch(r"(-?[0-9]+)([bkmgtp]?)b?", setting.strip().lower()).groups()
+    size = int(number) << 10 * "bkmgtp".index(unit or "b")
+    return size if size > 0 else 1 << 62
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, or one made for this application."""
     named = spark.conf.get("spark.checkpoint.dir", None)

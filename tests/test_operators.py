@@ -260,3 +260,35 @@ def test_complete_links_by_brute_force(spark, block, monkeypatch):
             p.extend(q)
         want |= {k: min(c) for c in clusters for k in c}
     assert got == want and len(set(want.values())) < 50
+
+
+def pairs_table(spark, n=90):
+    """Vectors with copies, a null, a null component, a zero vector, another length, an id twice, a label of one row and none."""
+    rng = np.random.default_rng(5)
+    rows = [(k, k % 3, rng.normal(size=4).tolist()) for k in range(n)]
+    rows += [(n + k, 0, rows[0][2]) for k in range(5)]
+    rows += [(200, 0, None), (201, 1, [1.0, None, 0.0, 0.0]), (202, 2, [0.0] * 4), (203, 2, [1.0] * 3), (7, 1, [1.0, 0.0, 0.0, 0.0]), (204, 8, [1.0] * 4), (205, None, [1.0] * 4), (206, 9, None), (207, 9, None)]
+    return rows, spark.createDataFrame(rows, "id bigint, k int, x array<double>")
+
+
+def plain_cosine(x, y):
+    if x is None or y is None or len(x) != len(y) or None in x or None in y:
+        return None
+    n = np.linalg.norm(x) * np.linalg.norm(y)
+    return float(np.dot(x, y) / n) if n else 0.0
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_extremes_of_pairs_by_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(VE.block_pairs, "__defaults__", (block,))
+    monkeypatch.setattr(VE, "TILE", 5)
+    rows, df = pairs_table(spark)
+    want = {}
+    for i, k, x in rows:
+        for j, other, y in rows:
+            if k is not None and k == other and i < j:
+                want.setdefault(k, []).append(plain_cosine(x, y))
+    assert {r.k: r.pairs for r in VE.pair_counts(df).collect()} == {k: len(v) for k, v in want.items()}
+    got = {r.k: (round(r.least, 9), round(r.most, 9)) for r in VE.extremes(df).collect()}
+    known = {k: [x for x in v if x is not None] for k, v in want.items()}
+    assert got == {k: (round(min(v), 9), round(max(v), 9)) for k, v in known.items() if v}

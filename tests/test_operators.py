@@ -292,3 +292,16 @@ def test_extremes_of_pairs_by_brute_force(spark, block, monkeypatch):
     got = {r.k: (round(r.least, 9), round(r.most, 9)) for r in VE.extremes(df).collect()}
     known = {k: [x for x in v if x is not None] for k, v in want.items()}
     assert got == {k: (round(min(v), 9), round(max(v), 9)) for k, v in known.items() if v}
+
+
+@pytest.mark.parametrize("name", ["vec_sim_matrix", "agg_intra_cluster"])
+def test_pairs_of_a_label_are_met_by_blocks(spark, name, tmp_path):
+    """A label of 1,500 rows goes through no join of rows with rows."""
+    from lacewing.catalog import QUERIES
+
+    rng = np.random.default_rng(2)
+    spark.createDataFrame([(k, rng.normal(size=4).tolist(), 0) for k in range(1500)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "vec_id" not in "".join(x for x in plan.splitlines() if " Join " in x) and "FlatMapGroupsInArrow" in plan
+    assert df.count() == 1

@@ -305,3 +305,24 @@ def test_pairs_of_a_label_are_met_by_blocks(spark, name, tmp_path):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "vec_id" not in "".join(x for x in plan.splitlines() if " Join " in x) and "FlatMapGroupsInArrow" in plan
     assert df.count() == 1
+
+
+def canonical_tables(spark, folder):
+    """Head 1 has 45 tails of one line each, head 2 two tails in three lines, head 3 one line without a brand."""
+    lines = [(k, 1, k, 1) for k in range(45)] + [(50, 2, 0, 1), (51, 2, 0, 2), (52, 2, 1, 1), (53, 3, 99, 1)]
+    kinds = "l_orderkey bigint, l_suppkey bigint, l_partkey bigint, l_linenumber int, l_returnflag string, l_discount double, l_quantity double, l_tax double"
+    rows = [(o, s, p, n, "NAR"[o % 3], 0.01 * (o % 5), 10.0 + o % 7, 0.02 * (o % 3)) for o, s, p, n in lines]
+    spark.createDataFrame(rows, kinds).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(k, f"Brand#{k % 45}" if k < 90 else None) for k in range(100)], "p_partkey bigint, p_brand string").write.parquet(f"{folder}/part.parquet")
+
+
+def test_canonical_core_where_no_tail_is_common(spark, tmp_path):
+    from oracle import duckdb, oracle_rows, rows
+
+    from lacewing.catalog import ORACLES, QUERIES
+
+    canonical_tables(spark, tmp_path)
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    assert rows(QUERIES["agg_canonical_v2"](spark, str(tmp_path))) == oracle_rows(con, ORACLES["agg_canonical_v2"])

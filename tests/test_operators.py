@@ -326,3 +326,12 @@ def test_canonical_core_where_no_tail_is_common(spark, tmp_path):
     for t in ("lineitem", "part"):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     assert rows(QUERIES["agg_canonical_v2"](spark, str(tmp_path))) == oracle_rows(con, ORACLES["agg_canonical_v2"])
+
+
+def test_canonical_edge_has_all_its_parts(spark, tmp_path):
+    from lacewing.catalog import QUERIES
+
+    canonical_tables(spark, tmp_path)
+    got = {r["head"]: r for r in QUERIES["agg_canonical_v2"](spark, str(tmp_path)).collect()}
+    assert (got[1].core, got[1].claim, got[1].relations) == ("Brand#0|Brand#1", "1 associated_with Brand#12", "associated_with:15|increases:15|reduces:15")
+    assert (got[2].core, got[2].n, got[2].articles, got[3].core, got[3].claim) == ("Brand#0|Brand#1", 3, "10|11|12", None, None)

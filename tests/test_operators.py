@@ -335,3 +335,26 @@ def test_canonical_edge_has_all_its_parts(spark, tmp_path):
     got = {r["head"]: r for r in QUERIES["agg_canonical_v2"](spark, str(tmp_path)).collect()}
     assert (got[1].core, got[1].claim, got[1].relations) == ("Brand#0|Brand#1", "1 associated_with Brand#12", "associated_with:15|increases:15|reduces:15")
     assert (got[2].core, got[2].n, got[2].articles, got[3].core, got[3].claim) == ("Brand#0|Brand#1", 3, "10|11|12", None, None)
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_first_fit_in_blocks(spark, block):
+    """Many clusters a label, with and without room, copies among the rows."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(240, 5))
+    x[100:130] = x[7]
+    df = spark.createDataFrame([(k, int(k % 2), v.tolist()) for k, v in enumerate(x)], "vec_id bigint, label int, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for most in (None, 4):
+        got = {r.vec_id: r.cluster for r in CL.first_fit(df, "label", 0.7, most=most, block=block).collect()}
+        for label in range(2):
+            clusters = []
+            for k in range(label, len(x), 2):
+                for c in clusters:
+                    s = sum(u[m] for m in c)
+                    if (most is None or len(c) < most) and u[k] @ s / np.linalg.norm(s) >= 0.7:
+                        c.append(k)
+                        break
+                else:
+                    clusters.append([k])
+            assert {m: got[m] for c in clusters for m in c} == {m: c[0] for c in clusters for m in c}

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import vector as VE
+
 CLOSE = 0.92
 LINK = 0.82
 AUTO_MERGE, ASK_MERGE = 0.90, 0.78
@@ -73,6 +76,31 @@ def merge_outcome(score: Column, compatible: Column, verdict: Column) -> Column:
     return F.when((score >= AUTO_MERGE) & compatible, "MERGE").when(score >= ASK_MERGE, stated).otherwise("NONE")
 
 
+def foremost(queries: DataFrame, corpus: DataFrame, decided: Callable[..., np.ndarray], places: int = 4) -> DataFrame:
+    """(q, id, score): of each query (k, id, x), the rows of the corpus with equal k that can end its search.
+
+    Every pair is scored, by pairs of blocks.  Of each block of the corpus the first pair in order
+    of score that ``decided(score, q, id)`` holds for is kept; where there is none, any pair without its score.
+    """
+    scale = 10.0**places
+
+    def run(k, one: VE.Side, two: VE.Side, same: bool) -> Iterator[dict]:
+        import pyarrow as pa
+
+        score, best = np.full(len(one.ids), -np.inf), np.full(len(one.ids), two.ids.min())
+        for a, b, s, known in VE.tiles(one, two):
+            s = VE.half_up(s * scale) / scale
+            q, other = one.ids[a, None], two.ids[None, b]
+            s = np.where(decided(s, q, other) & (True if known is None else known), s, -np.inf)
+            top = s.max(1)
+            own = np.where(s == top[:, None], other, np.iinfo(np.int64).max).min(1)
+            better = (top > score[a]) | ((top == score[a]) & (top > -np.inf) & (own < best[a]))
+            score[a], best[a] = np.where(better, top, score[a]), np.where(better, own, best[a])
+        yield {"q": one.ids, "id": best, "score": pa.array(score, mask=score == -np.inf)}
+
+    return VE.block_pairs(queries, corpus, run, "q bigint, id bigint, score double")
+
+
 def first_decision(pairs: DataFrame) -> DataFrame:
     """(q, target, outcome): candidates of q in order of score; the first that is decided ends the search.
 

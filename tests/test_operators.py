@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lacewing.functions import scorers as S
 from lacewing.functions import text as T
 from lacewing.operators import cluster as CL
+from lacewing.operators import linking as L
 from lacewing.operators import merge as M
 from lacewing.operators import vector as VE
 from lacewing.sources import readers as R
@@ -358,3 +359,23 @@ def test_first_fit_in_blocks(spark, block):
                 else:
                     clusters.append([k])
             assert {m: got[m] for c in clusters for m in c} == {m: c[0] for c in clusters for m in c}
+
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_foremost_by_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(VE.block_pairs, "__defaults__", (block,))
+    monkeypatch.setattr(VE, "TILE", 5)
+    rows, df = pairs_table(spark)
+    want = {}
+    for i, k, x in rows:
+        for j, other, y in rows:
+            if i % 5 == 0 and j % 5 and k is not None and k == other:
+                s = plain_cosine(x, y)
+                s = None if s is None else round(s, 2)
+                want[i] = min(want.get(i, (9, 0)), (-s, j) if s is not None and s >= 0.3 and (i + j) % 3 else (9, 0))
+    parts = L.foremost(df.where("id % 5 = 0"), df.where("id % 5 <> 0"), lambda s, q, i: (s >= 0.3) & ((q + i) % 3 != 0), places=2)
+    got = {}
+    for r in parts.collect():
+        got[r.q] = min(got.get(r.q, (9, 0)), (9, 0) if r.score is None else (round(-r.score, 2), r.id))
+    assert got == want

@@ -379,3 +379,20 @@ def test_foremost_by_brute_force(spark, block, monkeypatch):
     for r in parts.collect():
         got[r.q] = min(got.get(r.q, (9, 0)), (9, 0) if r.score is None else (round(-r.score, 2), r.id))
     assert got == want
+
+
+def test_top_k_ties_by_rounded_score(spark, monkeypatch):
+    """Rounded scores decide, then ids; small tiles; fewer rows than k."""
+    monkeypatch.setattr(VE, "QUERIES", 2)
+    monkeypatch.setattr(VE, "ROWS", 3)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(80, 3))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id bigint, v array<double>").repartition(3)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    q = df.where("id < 7").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    got = {}
+    for r in VE.top_k(q, df, 4, query_rows=3, places=1).collect():
+        got[r.q, r["rank"]] = r.id
+    for k in range(7):
+        assert [got[k, n] for n in range(1, 5)] == np.lexsort((np.arange(80), -np.round(u @ u[k], 1)))[:4].tolist()
+    assert VE.top_k(q, df.where("id < 2"), 4, places=1).count() == 14

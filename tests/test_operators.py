@@ -361,6 +361,15 @@ def test_first_fit_in_blocks(spark, block):
             assert {m: got[m] for c in clusters for m in c} == {m: c[0] for c in clusters for m in c}
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_cosines_of_pairs_by_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(VE.block_pairs, "__defaults__", (block,))
+    monkeypatch.setattr(VE, "TILE", 5)
+    rows, df = pairs_table(spark)
+    want = [(i, j, plain_cosine(x, y)) for i, k, x in rows for j, other, y in rows if i % 5 == 0 and k is not None and k == other and i != j]
+    shown = lambda d: sorted(str((a, b, None if s is None else round(s, 9) + 0.0)) for a, b, s in d)
+    assert shown(VE.pair_cosines(df.where("id % 5 = 0"), df).collect()) == shown(want)
+
 
 @pytest.mark.parametrize("block", [7, 4096])
 def test_foremost_by_brute_force(spark, block, monkeypatch):

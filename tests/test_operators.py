@@ -405,3 +405,28 @@ def test_top_k_ties_by_rounded_score(spark, monkeypatch):
     for k in range(7):
         assert [got[k, n] for n in range(1, 5)] == np.lexsort((np.arange(80), -np.round(u @ u[k], 1)))[:4].tolist()
     assert VE.top_k(q, df.where("id < 2"), 4, places=1).count() == 14
+
+
+def line_table(spark, folder, rows):
+    kinds = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string, l_discount double, l_quantity double, l_tax double"
+    spark.createDataFrame([(*r, "NAR"[k % 3], 0.01 * (k % 9), 10.0, 0.02) for k, r in enumerate(rows)], kinds).write.parquet(f"{folder}/lineitem.parquet")
+
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_second_hop_without_the_whole_incidence(spark, tmp_path, monkeypatch, few):
+    """Both ways of the gate, with ids sent whole and joined; a met gate plans no second hop."""
+    from lacewing.plans import ranking_queries as R
+    from lacewing.registry import Tables
+
+    monkeypatch.setattr(R, "FEW", few)
+    line_table(spark, tmp_path, [(1, 2, 7, 1), (1, 9, 7, 2), (1, 9, 7, 2), (2, 9, 8, 1), (3, 50, 8, 1), (4, 60, 5, 1)])
+    spark.createDataFrame([(k, k) for k in range(1, 5)], "o_orderkey bigint, n bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert sorted(r.edge for r in R.second_hop(t, "n > 2").collect()) == [1, 2, 3]
+    met = R.second_hop(t, "n = 2")
+    assert sorted(r.edge for r in met.collect()) == [1, 2] and "l_suppkey" not in plan_of(met)

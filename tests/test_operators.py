@@ -412,6 +412,18 @@ def line_table(spark, folder, rows):
     spark.createDataFrame([(*r, "NAR"[k % 3], 0.01 * (k % 9), 10.0, 0.02) for k, r in enumerate(rows)], kinds).write.parquet(f"{folder}/lineitem.parquet")
 
 
+@pytest.mark.parametrize("many", [3, 32])
+def test_shared_parts_by_brute_force(spark, tmp_path, many):
+    """Orders larger than ``many`` parts meet small and large ones through single parts."""
+    from lacewing.plans import ranking_queries as R
+    from lacewing.registry import Tables
+
+    rng = np.random.default_rng(3)
+    sets = {k: set(rng.choice(14, size=int(rng.integers(1, 8)), replace=False).tolist()) for k in range(40)}
+    line_table(spark, tmp_path, [(k, p, 0, n) for k, s in sets.items() for n, p in enumerate([*s, min(s)])])
+    got = sorted(tuple(r) for r in R.shared_parts(Tables(spark, str(tmp_path)), many).select("a", "b", "c", "na", "nb").collect())
+    assert got == sorted((a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > 1)
+
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()

@@ -442,3 +442,18 @@ def test_second_hop_without_the_whole_incidence(spark, tmp_path, monkeypatch, fe
     assert sorted(r.edge for r in R.second_hop(t, "n > 2").collect()) == [1, 2, 3]
     met = R.second_hop(t, "n = 2")
     assert sorted(r.edge for r in met.collect()) == [1, 2] and "l_suppkey" not in plan_of(met)
+
+
+def test_first_lines_of_an_entity_are_cut_before_they_are_dealt(spark, tmp_path):
+    from oracle import duckdb, oracle_rows, rows
+
+    from lacewing.catalog import ORACLES, QUERIES
+
+    line_table(spark, tmp_path, [(k // 3, k % 4, k % 3, k % 2) for k in range(400)])
+    spark.createDataFrame([(k, f"Brand#{k % 3}") for k in range(4)], "p_partkey bigint, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    df = QUERIES["jn_triples_by_entity"](spark, str(tmp_path))
+    assert rows(df) == oracle_rows(con, ORACLES["jn_triples_by_entity"])
+    assert plan_of(df).count("WindowGroupLimit") > 2

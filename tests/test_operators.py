@@ -457,3 +457,10 @@ def test_first_lines_of_an_entity_are_cut_before_they_are_dealt(spark, tmp_path)
     df = QUERIES["jn_triples_by_entity"](spark, str(tmp_path))
     assert rows(df) == oracle_rows(con, ORACLES["jn_triples_by_entity"])
     assert plan_of(df).count("WindowGroupLimit") > 2
+
+
+def test_risk_gate_deals_lines_once(spark):
+    from lacewing.catalog import QUERIES
+
+    plan = QUERIES["rt_risk_gate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan

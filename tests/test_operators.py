@@ -425,6 +425,22 @@ def test_shared_parts_by_brute_force(spark, tmp_path, many):
     assert got == sorted((a, b, len(sets[a] & sets[b]), len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > 1)
 
 
+@pytest.mark.parametrize("lines", [5, 1 << 20])
+def test_pairs_of_parts_of_one_order_are_not_joined(spark, tmp_path, monkeypatch, lines):
+    """More lines are dealt into more parts; without a large order no single parts are met."""
+    from lacewing.plans import ranking_queries as R
+    from lacewing.registry import Tables
+
+    monkeypatch.setattr(R, "LINES", lines)
+    sets = {k: {k % 7, 10 + k % 5, 20 + k, 90 + k} for k in range(40)} | {50: {0, 10}, 51: {3}}
+    line_table(spark, tmp_path, [(k, p, 0, n) for k, s in sets.items() for n, p in enumerate(s)] + [(None, 1, 0, 9), (50, None, 0, 9)])
+    t = Tables(spark, str(tmp_path))
+    met = R.shared_parts(t)
+    assert sorted(tuple(r) for r in met.select("a", "b", "c").collect()) == sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > 1)
+    assert "Generate" not in plan_of(met)
+    assert R.dealt(t.lineitem, 165, "l_orderkey").rdd.getNumPartitions() == (33 if lines == 5 else 4)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

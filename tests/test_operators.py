@@ -441,6 +441,16 @@ def test_pairs_of_parts_of_one_order_are_not_joined(spark, tmp_path, monkeypatch
     assert R.dealt(t.lineitem, 165, "l_orderkey").rdd.getNumPartitions() == (33 if lines == 5 else 4)
 
 
+def test_relations_of_both_ways_from_one_pass(spark):
+    """The pairs of the second way come from those of the first, not from a second search."""
+    from lacewing.catalog import QUERIES
+
+    df = QUERIES["clu_relations"](spark, "/root/testdata/sf0.001")
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+    rows = [tuple(r) for r in df.collect()]
+    assert sorted(rows) == sorted((b, a, r) for a, b, r in rows)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 

@@ -61,6 +61,22 @@ def test_components(spark):
     assert CL.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_meet_all_edges_once(spark, monkeypatch):
+    """Stars are made of a few edges a node; links between groups that are nobody's least or greatest neighbour join them."""
+    met, stars = [], CL._stars
+
+    def seen(edges):
+        met.append(edges.count())
+        return stars(edges)
+
+    monkeypatch.setattr(CL, "_stars", seen)
+    edges = [e for g in range(4) for j in range(9) for h in (g, 1000 + g) for e in ((h, 100 + 10 * g + j), (100 + 10 * g + j, h))] + [(101, 112), (112, 122), (None, 5), (7, 7)]
+    edges += [(5000 + a, 5000 + b) for a in range(20) for b in range(a)]
+    got = {r.node: r.root for r in CL.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    want = {n: 0 if g < 3 else 3 for g in range(4) for n in (g, 1000 + g, *range(100 + 10 * g, 109 + 10 * g))} | dict.fromkeys(range(5000, 5020), 5000)
+    assert got == want and len(met) == 2 and met[1] == 2
+
+
 def vectors(spark, n=60):
     x = np.random.default_rng(3).normal(size=(n, 4))
     return x, spark.createDataFrame([(k, k % 3, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id bigint, label int, embedding array<double>")

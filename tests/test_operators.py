@@ -486,6 +486,21 @@ def test_second_hop_without_the_whole_incidence(spark, tmp_path, monkeypatch, fe
     assert sorted(r.edge for r in met.collect()) == [1, 2] and "l_suppkey" not in plan_of(met)
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_second_hop_joins_only_rows_of_chunks_not_met(spark, tmp_path, monkeypatch, few):
+    """Edge 2 leads to 5 by a chunk of which no row has an entity that was met."""
+    from lacewing.plans import ranking_queries as R
+    from lacewing.registry import Tables
+
+    plans, held = [], R.held
+    monkeypatch.setattr(R, "FEW", few)
+    monkeypatch.setattr(R, "held", lambda ids: plans.append(plan_of(ids)) or held(ids))
+    line_table(spark, tmp_path, [(1, 2, 7, 1), (1, 9, 7, 2), (2, 9, 8, 1), (2, 70, 6, 2), (3, 50, 8, 1), (4, 60, 4, 1), (5, 80, 6, 1), (6, 90, None, 1), (2, 91, None, 3)])
+    spark.createDataFrame([(k, k) for k in range(1, 7)], "o_orderkey bigint, n bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(r.edge for r in R.second_hop(Tables(spark, str(tmp_path)), "n > 2").collect()) == [1, 2, 3, 5]
+    assert any("LeftAnti" in p for p in plans)
+
+
 def test_first_lines_of_an_entity_are_cut_before_they_are_dealt(spark, tmp_path):
     from oracle import duckdb, oracle_rows, rows
 

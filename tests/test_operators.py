@@ -457,6 +457,21 @@ def test_pairs_of_parts_of_one_order_are_not_joined(spark, tmp_path, monkeypatch
     assert R.dealt(t.lineitem, 165, "l_orderkey").rdd.getNumPartitions() == (33 if lines == 5 else 4)
 
 
+def test_sets_of_parts_are_read_by_as_many_tasks_as_wrote_them(spark, tmp_path, monkeypatch):
+    """Pairs are made from few orders a task, however small the files of kept orders are."""
+    from lacewing.plans import ranking_queries as R
+    from lacewing.registry import Tables
+
+    tasks, dealt = [], R.dealt
+    monkeypatch.setattr(R, "LINES", 20)
+    monkeypatch.setattr(R, "dealt", lambda df, *a: tasks.append(df.rdd.getNumPartitions()) or dealt(df, *a))
+    sets = {k: {k % 7, 10 + k % 5, 20 + k} for k in range(80)}
+    line_table(spark, tmp_path, [(k, p, 0, n) for k, s in sets.items() for n, p in enumerate(s)])
+    met = R.shared_parts(Tables(spark, str(tmp_path)))
+    assert sorted(tuple(r) for r in met.select("a", "b", "c").collect()) == sorted((a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > 1)
+    assert tasks[1] > 9
+
+
 def test_relations_of_both_ways_from_one_pass(spark):
     """The pairs of the second way come from those of the first, not from a second search."""
     from lacewing.catalog import QUERIES
